@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, packing, pii, quality_rules
+from . import ann, bpe, classifier, jaccard, langid, licenses, packing, pii, quality_rules, sharding
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,17 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text, and whether they decode to it again."""
+    coded = bpe.encode(_docs(spark, sf_dir).select("doc_id", "text"))
+    back = bpe.decode(coded, to="restored")
+    return back.select("doc_id", "n_tokens", "tokens", F.col("text").eqNullSafe(F.col("restored")).alias("exact"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_docs(spark, sf_dir).select("doc_id"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     found = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
@@ -28,6 +39,15 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_docs(spark, sf_dir))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return classifier.score(docs, classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_docs(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 and toxic = 0").select("doc_id")
     return quality_rules.judged(_docs(spark, sf_dir), trusted)
@@ -37,6 +57,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(_docs(spark, sf_dir), length="n_chars", count="n_entities")
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -46,13 +70,18 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_bpe": op2_bpe,
+        "op3_sharding": op3_sharding,
         "op4_language_id": op4_language_id,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+        "op6_quality_classifier": op6_quality_classifier,
+        "op7_license_scan": op7_license_scan,
         "op8_quality_rules": op8_quality_rules,
         "op9_pii": op9_pii,
+        "op10_nearest_neighbours": op10_nearest_neighbours,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_sharding": sharding.oracle()}
