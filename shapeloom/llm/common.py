@@ -6,6 +6,7 @@ that grows with the corpus is sent to the driver or broadcast.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,6 +44,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of tables that nothing refers to any more; the driver's collector tells it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def pieces(batches: Iterator[pd.DataFrame], text: str, limit: int = BATCH_CHARS) -> Iterator[pd.DataFrame]:
     """The batches cut between rows so that each has about ``limit`` characters of text; empty ones are left out."""
     for pdf in batches:
@@ -120,15 +127,18 @@ def word_hashes(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def add_blobs(df: DataFrame, dtype: str = "int64") -> DataFrame:
-    """Sums binary arrays by ``part``: rows (part int, data binary) to one row a part. Streams; memory is one array a part."""
+def add_blobs(df: DataFrame, dtype: str = "int64", bits: bool = False) -> DataFrame:
+    """Sums binary arrays by ``part``: rows (part int, data binary) to one row a part. Streams; memory is one array a part.
+
+    With ``bits`` they are joined by OR instead.
+    """
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
         for pdf in batches:
             for part, data in zip(pdf["part"], pdf["data"]):
                 x = np.frombuffer(data, dtype=dtype)
-                total[part] = total[part] + x if part in total else x
+                total[part] = (total[part] | x if bits else total[part] + x) if part in total else x
         yield pd.DataFrame({"part": pd.Series(list(total), dtype="int32"), "data": [x.tobytes() for x in total.values()]})
 
     return df.repartition("part").mapInPandas(add, "part int, data binary")
@@ -140,9 +150,9 @@ def blob_rows(array: np.ndarray, size: int = 8192) -> pd.DataFrame:
     return pd.DataFrame({"part": pd.Series(range(len(cut)), dtype="int32"), "data": [array[i : i + size].tobytes() for i in cut]})
 
 
-def collect_blobs(df: DataFrame, n: int, dtype: str = "int64") -> np.ndarray:
+def collect_blobs(df: DataFrame, n: int, dtype: str = "int64", bits: bool = False) -> np.ndarray:
     """The summed array of ``n`` values (fixed by a parameter, not by the data); zeros where nothing was counted."""
-    rows = {r["part"]: np.frombuffer(r["data"], dtype=dtype) for r in add_blobs(df, dtype).collect()}
+    rows = {r["part"]: np.frombuffer(r["data"], dtype=dtype) for r in add_blobs(df, dtype, bits).collect()}
     out = np.zeros(n, dtype=dtype)
     size = 8192
     for part, x in rows.items():
@@ -198,3 +208,15 @@ def viterbi(emission: np.ndarray, length: np.ndarray, step: np.ndarray) -> np.nd
         if t:
             state[:m] = back[at, state[:m]]
     return best
+
+
+def slots(marks: DataFrame, n: int) -> np.ndarray:
+    """A bitmap (packed) of the slots in the one column of ``marks``: fixed in size, whatever the number of rows."""
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(n, dtype=np.uint8)
+        for pdf in batches:
+            seen[pdf.iloc[:, 0].to_numpy(dtype=np.int64)] = 1
+        yield blob_rows(np.packbits(seen))
+
+    return collect_blobs(marks.mapInPandas(mark, "part int, data binary"), n // 8, "uint8", bits=True)

@@ -18,13 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blob_rows, collect_blobs, joined, materialise, pieces
+from .common import blob_rows, collect_blobs, joined, materialise, pieces, slots
 
 BUCKETS = 1 << 16
+#: Slots of the bitmap that spares documents without trusted key the way to the join.
+SLOTS = 1 << 21
 PRIME = (1 << 31) - 1
 #: Powers that weigh the characters of a token by their place modulo 64.
 POWERS = [pow(31, i, PRIME) for i in range(64)]
@@ -55,27 +57,50 @@ def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([doc, doc[pair]]), np.concatenate([uni, bi])
 
 
+def _slot(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
+
+
 def ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id") -> np.ndarray:
     """log p_trusted - log p_raw of every bucket, over all documents. ``trusted``: keys of the target's documents.
 
-    One pass over the text; what is shuffled and collected is one fixed array a task.
+    One pass over the text, which isn't shuffled: of all documents one fixed array a task is sent. Documents whose hash slot
+    holds a trusted key send their buckets (two bytes an n-gram), too; those meet the keys exactly, by merge join at any size.
     """
-    both = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    good = trusted.select(F.col(key).alias("key")).dropna().distinct().withColumn("good", F.lit(1))
-    # keys alone meet the labels; the text follows only where the labels are too many to be broadcast
-    both = both.join(good, "key", "left").select(F.col("good").isNotNull().alias("good"), "text")
+    kind = docs.schema[key].dataType
+    good = trusted.select(F.col(key).cast(kind).alias("key")).dropna().distinct()
+    marked = np.unpackbits(slots(good.select(_slot("key")), SLOTS)).astype(bool)
+    both = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.when(F.col(key).isNotNull(), _slot(key)).otherwise(-1).alias("slot"))
+    columns = ["part", "data", "key", "grams"]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(2 * BUCKETS, dtype=np.int64)
+        total = np.zeros(BUCKETS, dtype=np.int64)
         for pdf in pieces(batches, "text"):
             doc, bucket = ngrams(pdf["text"].tolist())
-            is_good = pdf["good"].to_numpy(dtype=bool)[doc]
-            total[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
-            total[BUCKETS:] += np.bincount(bucket[is_good], minlength=BUCKETS)
+            total += np.bincount(bucket, minlength=BUCKETS)
+            slot = pdf["slot"].to_numpy(dtype=np.int64)
+            maybe = np.flatnonzero((slot >= 0) & marked[slot])
+            if len(maybe):
+                order = np.argsort(doc, kind="stable")
+                ends = np.cumsum(np.bincount(doc, minlength=len(pdf)))
+                own = bucket[order].astype(np.uint16)
+                grams = [own[(ends[i - 1] if i else 0) : ends[i]].tobytes() for i in maybe.tolist()]
+                yield pd.DataFrame({"part": None, "data": None, "key": pdf["key"].to_numpy()[maybe], "grams": grams}, columns=columns)
+        yield blob_rows(total).reindex(columns=columns).astype(object).where(lambda x: x.notna(), None)
+
+    # written, for the text is to be read once: the counts, and the grams of what may be trusted
+    once = materialise(both.mapInPandas(count, f"part int, data binary, key {kind.simpleString()}, grams binary"))
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(BUCKETS, dtype=np.int64)
+        for pdf in batches:
+            for x in pdf["grams"]:
+                total += np.bincount(np.frombuffer(x, dtype=np.uint16), minlength=BUCKETS)
         yield blob_rows(total)
 
-    total = collect_blobs(both.mapInPandas(count, "part int, data binary"), 2 * BUCKETS)
-    raw, target = total[:BUCKETS] + 1.0, total[BUCKETS:] + 1.0
+    met = once.filter("grams is not null").select("key", "grams").join(good.hint("merge"), "key", "left_semi").select("grams")
+    raw = collect_blobs(once.filter("part is not null").select("part", "data"), BUCKETS) + 1.0
+    target = collect_blobs(met.mapInPandas(add, "part int, data binary"), BUCKETS) + 1.0
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
