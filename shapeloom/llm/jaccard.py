@@ -17,7 +17,8 @@ costs the product of its grams' document frequencies (counted over all documents
 so empty and common subsets are left out first, paid for by spare segments and by neighbourhoods of rare subsets.
 An empty one is looked up only where nothing is left to pay with.
 
-Meeting pairs are verified exactly on the sets. Equal sets are joined by their 128-bit hash, not by the index.
+Meeting pairs whose sketches (parities of bucket counts) differ in more places than the sets may are no
+candidates; that is exact, too. The others are verified on the sets. Equal sets are joined by their 128-bit hash, not by the index.
 
 Rows of a subset travel packed (5 bytes of signature, 3 or less for the document), in blobs by bucket.
 
@@ -36,11 +37,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blob_rows, collect_blobs, joined, materialise, mix, pieces, runs, table, word_hashes
+from .common import blob_rows, collect_blobs, joined, materialise, mix, pieces, release, runs, slots, table, word_hashes
 
 #: Bits of a gram's hash; the rest of a word holds the document's place in a batch, of which there are 2**16 at most.
 GRAM_BITS = 48
 DF_BITS = 18
+#: Slots of the bitmap of documents whose texts are verified on.
+SLOTS = 1 << 23
 #: Pairs that one numpy pass over a bucket's posting lists emits at a time.
 PAIRS = 2_000_000
 
@@ -82,6 +85,31 @@ def set_keys(gram: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[0], out[1]
 
 
+def sketches(gram: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Of each set, the parities of its grams' counts in 2**k >= size buckets (8 at least), as packed bits.
+
+    Two sets' parities differ in no more places than the sets do in grams; a longer sketch folds to a shorter one.
+    """
+    wide = np.maximum(8, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    base = np.cumsum(wide) - wide
+    of = np.repeat(np.arange(len(size)), size)
+    place = base[of] + (gram.astype(np.int64) & (wide[of] - 1))
+    packed = np.packbits((np.bincount(place, minlength=int(wide.sum())) & 1).astype(np.uint8)).tobytes()
+    return [packed[b >> 3 : (b + w) >> 3] for b, w in zip(base.tolist(), wide.tolist())]
+
+
+def parted(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Places in which the sketches of each pair differ: at most the grams that the sets differ in."""
+    out = np.zeros(len(x), dtype=np.int64)
+    n = np.array([(len(a), len(b)) for a, b in zip(x, y)], dtype=np.int64).reshape(-1, 2)
+    for m, k in np.unique(n, axis=0).tolist():
+        at = np.flatnonzero((n[:, 0] == m) & (n[:, 1] == k))
+        least = min(m, k)
+        a, b = (np.bitwise_xor.reduce(np.frombuffer(b"".join(z[i] for i in at), dtype=np.uint8).reshape(len(at), -1, least), axis=1) for z in (x, y))
+        out[at] = np.bitwise_count(a ^ b).sum(1)
+    return out
+
+
 class Bands:
     """Sizes in geometric bands, and what each band's segments are."""
 
@@ -259,15 +287,19 @@ class Join:
         self.target = target
         once = materialise(self._ids())
         self.ids = once.filter("key1 is not null").select("id", "key1", "key2", "size")
+        self.sketches = once.filter("key1 is not null").select("key1", "key2", "size", "sketch")
         counted = collect_blobs(once.filter("part is not null").select("part", "data"), (1 << DF_BITS) + 1, "int32").astype(np.int64)
         #: documents of each bucket of grams, over all documents, and their number
         self.df, self.n_docs = counted[:-1], int(counted[-1])
-        self.pairs = self._verified(materialise(self._candidates()))
+        met = materialise(self._candidates())
+        release(docs.sparkSession)  # the index
+        self.pairs = materialise(self._verified(materialise(self._near(met))))
+        release(docs.sparkSession)
 
     def _ids(self) -> DataFrame:
         """In one pass over the texts, a row for each document that has a set, and each task's document frequencies."""
         n = self.n
-        columns = ["id", "key1", "key2", "size", "part", "data"]
+        columns = ["id", "key1", "key2", "size", "sketch", "part", "data"]
 
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total, docs = np.zeros(1 << DF_BITS, dtype=np.int32), 0
@@ -276,10 +308,10 @@ class Join:
                 total += np.bincount((gram >> np.uint64(GRAM_BITS - DF_BITS)).astype(np.int64), minlength=1 << DF_BITS).astype(np.int32)
                 docs += int((size > 0).sum())
                 a, b = set_keys(gram, size)
-                yield pd.DataFrame({"id": pdf["id"].to_numpy(), "key1": a, "key2": b, "size": size, "part": None, "data": None})[size > 0]
+                yield pd.DataFrame({"id": pdf["id"].to_numpy(), "key1": a, "key2": b, "size": size, "sketch": sketches(gram, size), "part": None, "data": None})[size > 0]
             yield blob_rows(np.concatenate([total, np.array([docs], dtype=np.int32)])).reindex(columns=columns).astype(object).where(lambda x: x.notna(), None)
 
-        return self.docs.mapInPandas(work, f"id {self.id_type.simpleString()}, key1 long, key2 long, size long, part int, data binary")
+        return self.docs.mapInPandas(work, f"id {self.id_type.simpleString()}, key1 long, key2 long, size long, sketch binary, part int, data binary")
 
     def _candidates(self) -> DataFrame:
         spark = self.docs.sparkSession
@@ -337,28 +369,50 @@ class Join:
         same = self.ids.groupBy("key1").agg(F.min("key2").alias("lo"), F.max("key2").alias("hi")).filter("lo <> hi").select(F.col("key1").alias("a"), F.col("key1").alias("b"))
         return met.unionByName(same)
 
+    def _near(self, met: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sizes and sketches don't tell that they differ in too much. No similar pair is lost."""
+        least, differ = self.least, self.bands.differ
+        one = self.sketches.dropDuplicates(["key1", "key2"])
+        side = lambda x: one.select(F.col("key1").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                r, s = pdf["na"].to_numpy(), pdf["nb"].to_numpy()
+                pdf = pdf[(np.minimum(r, s) >= least * np.maximum(r, s) - 1e-9)]
+                if len(pdf):
+                    ok = parted(pdf["sa"].tolist(), pdf["sb"].tolist()) <= differ(pdf["na"].to_numpy(), pdf["nb"].to_numpy())
+                    yield pdf.loc[ok, ["a", "b"]]
+
+        return met.join(side("a"), "a").join(side("b"), "b").mapInPandas(work, "a long, b long").distinct()
+
     def _verified(self, candidates: DataFrame) -> DataFrame:
         """(a1, a2, b1, b2, jaccard): pairs of different sets by their hashes; a before b."""
         n, least = self.n, self.least
         keys = candidates.select(F.col("a").alias("key1")).union(candidates.select("b")).distinct()
         one = self.ids.groupBy("key1", "key2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("x"), F.max("size").alias("size")).join(keys, "key1", "left_semi").select("key1", "key2", "size", F.col("x.id").alias("id"))
-        needed = one.select("id").distinct()
+        one = materialise(one)
+        # texts of the sets in question, one document a set: a bitmap of fixed size spares the others the way to the join
+        slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int").alias("slot")
+        marked = np.unpackbits(slots(one.select(slot), SLOTS)).astype(bool)
 
         def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in pieces(batches, "text"):
+            for pdf in pieces((x[marked[x["slot"].to_numpy(dtype=np.int64)]] for x in batches), "text"):
                 gram, size = gram_sets(pdf["text"].tolist(), n)
                 a, b = set_keys(gram, size)
                 ends = np.cumsum(size)
                 yield pd.DataFrame({"key1": a, "key2": b, "grams": [gram[e - s : e].tobytes() for e, s in zip(ends, size)]})[size > 0]
 
-        # texts of the sets in question, one document a set; a null id is met by null-safe equality
-        texts = self.docs.join(needed, self.docs["id"].eqNullSafe(needed["id"]), "left_semi").select("text")
-        found = materialise(texts.mapInPandas(sets, "key1 long, key2 long, grams binary"))
+        found = materialise(self.docs.select("text", slot).mapInPandas(sets, "key1 long, key2 long, grams binary"))
         found = found.join(one.select("key1", "key2"), ["key1", "key2"], "left_semi").dropDuplicates(["key1", "key2"])
-        # pairs meet their sets in blocks of keys: a set is copied to as many blocks as its partners lie in, not to each partner
-        blocks = max(4, int(math.sqrt(4 * int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))))
-        block = lambda c: F.pmod(F.hash(c), F.lit(blocks))
-        placed = candidates.select("a", "b", (block(F.col("a")) * blocks + block(F.col("b"))).alias("cell"))
+        # pairs meet their sets in cells: sets with the same least partner lie together, 512 at most, so that a set is copied
+        # to the cells that its partners lie in, one mostly, and not to each partner
+        least_of = F.least("a", "b").alias("l")
+        label = candidates.select(F.col("a").alias("k"), least_of).union(candidates.select("b", least_of)).groupBy("k").agg(F.min("l").alias("l"))
+        many = label.groupBy("l").agg(F.ceil(F.count("*") / 512).alias("n"))
+        label = label.join(many, "l").select("k", F.struct("l", F.pmod(F.xxhash64("k"), F.col("n")).alias("sub")).alias("at"))
+        cells = 4 * int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        placed = candidates.join(label.withColumnsRenamed({"k": "a", "at": "la"}), "a").join(label.withColumnsRenamed({"k": "b", "at": "lb"}), "b")
+        placed = materialise(placed.select("a", "b", F.pmod(F.xxhash64(F.least("la", "lb"), F.greatest("la", "lb")), F.lit(cells)).alias("cell")))
         wanted = placed.select(F.col("a").alias("key1"), "cell").union(placed.select("b", "cell")).distinct()
         sent = found.join(wanted, "key1").select("key1", "key2", "grams", F.col("cell").alias("at"))
 
