@@ -68,7 +68,7 @@ def observed(exchanges: DataFrame, base: str = "", method: str = "method", path:
 
     ``took`` is read from the first bytes of the response, which isn't decoded. A failed exchange has null status and took.
     """
-    head = F.regexp_extract(F.substring(F.col(response), 1, PEEK), r'^\s*\{\s*"took"\s*:\s*(\d+)', 1)
+    head = F.regexp_extract(F.substring(F.col(response), 1, PEEK), r'^\s*[{]\s*"took"\s*:\s*([0-9]+)', 1)
     found = exchanges.withColumn("__s", F.explode(searches(method, path, body, base)))
     took = F.when(F.col("__s.position").isNull() & (head != ""), head.cast("long"))
     return found.select(*exchanges.columns, "__s.index", "__s.body", "__s.position", took.alias("took")).drop(body, response)
