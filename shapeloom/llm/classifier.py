@@ -77,6 +77,19 @@ def bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return np.concatenate(found), np.concatenate(where), size, n
 
 
+def _all_bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``bags`` of many texts, worked out in pieces of bounded memory."""
+    done, passages = [], 0
+    ends = np.cumsum([len(t or "") for t in texts])
+    at = 0
+    while at < len(texts) or not done:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, side="right")))
+        bucket, passage, size, n = bags(texts[at:to])
+        done.append((bucket, (passage + passages).astype(np.int32), size, n))
+        passages, at = passages + len(size), to
+    return tuple(np.concatenate(x) for x in zip(*done))
+
+
 class Network:
     """Parameters: token vectors E, passage layer (A, a), gates V and U and attention w of each head, scores (S, s)."""
 
@@ -172,7 +185,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 6, batch: int = 64,
     Vectors are learned for the features that stand out by ``least`` standard errors under either label.
     """
     net = Network(seed)
-    bucket, passage, size, n = bags(texts)
+    bucket, passage, size, n = _all_bags(texts)
     keep = np.flatnonzero(n)
     weight = np.ones((len(texts), HEADS))
     for k in range(HEADS):
