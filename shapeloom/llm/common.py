@@ -6,7 +6,6 @@ that grows with the corpus is sent to the driver or broadcast.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_CHARS = 1_000_000
 #: Rows that one numpy pass takes at most.
 ROWS = 60_000
+#: Spark's setting for deleting the shuffle files of a plan that has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,16 +41,15 @@ def materialise(df: DataFrame) -> DataFrame:
     """``df`` as a written table in the shared folder: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # the plan's own shuffle files go when it is written
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of tables that nothing refers to any more; the driver's collector tells it."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def pieces(batches: Iterator[pd.DataFrame], text: str, limit: int = BATCH_CHARS) -> Iterator[pd.DataFrame]:
     """The batches cut between rows so that each has about ``limit`` characters of text; empty ones are left out."""
     for pdf in batches:

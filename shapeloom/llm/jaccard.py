@@ -3,7 +3,7 @@
 A document is the set of its word n-grams (words: runs of letters and digits, in lower case; a text of fewer than n words is
 one gram of all of them), as 48-bit hashes. Two sets of sizes r <= s with Jaccard at least t differ in at most
 (1 - t) / (1 + t) * (r + s) grams. Sizes fall into geometric bands. In a band whose largest size is h, the universe is
-hashed into m segments, one more than sets of size h may differ in. So two similar sets agree in one segment:
+hashed into m segments, ``slack`` times one more than sets of size h may differ in. So two similar sets agree in one segment:
 pigeonhole. A set is indexed in its own band with all its segments, and probes its own and every larger band that
 a partner may lie in, with
 
@@ -13,14 +13,14 @@ a partner may lie in, with
 * threshold -1: no lookup.
 
 A probe's thresholds need to sum, plus one each, to one more than it may differ in. They are allocated by cost: a subset
-costs the product of its grams' document frequencies (counted over all documents in a hashed table of fixed size),
-so empty and common subsets are left out first, paid for by spare segments and by neighbourhoods of rare subsets.
+costs the document frequency of its rarest gram, lowered a little by the others' (counted over all documents in a hashed table
+of fixed size; grams of a shared passage come together, so their product alone would say too little). So empty and common subsets are left out first, paid for by spare segments and by neighbourhoods of rare subsets.
 An empty one is looked up only where nothing is left to pay with.
 
 Meeting pairs whose sketches (parities of bucket counts) differ in more places than the sets may are no
 candidates; that is exact, too. The others are verified on the sets. Equal sets are joined by their 128-bit hash, not by the index.
 
-Rows of a subset travel packed (5 bytes of signature, 3 or less for the document), in blobs by bucket.
+Signatures travel packed, four bytes each beside their bucket, in blobs by bucket that name each document once.
 
 Defined cases: a null or empty text, or one without words, has no set and no partners; very long texts are read whole;
 rows with equal ids aren't partners of each other; ties don't arise, the result is exact; an empty table gives
@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blob_rows, collect_blobs, joined, materialise, mix, pieces, release, runs, slots, table, word_hashes
+from .common import blob_rows, collect_blobs, joined, materialise, mix, pieces, runs, slots, table, word_hashes
 
 #: Bits of a gram's hash; the rest of a word holds the document's place in a batch, of which there are 2**16 at most.
 GRAM_BITS = 48
@@ -46,6 +46,11 @@ DF_BITS = 18
 SLOTS = 1 << 23
 #: Pairs that one numpy pass over a bucket's posting lists emits at a time.
 PAIRS = 2_000_000
+#: Pairs that a task keeps to tell which it has met before.
+HELD = 2_000_000
+#: Entries that a task or bucket has in memory at a time, and buckets that one task takes after one another.
+ENTRIES = 1_000_000
+TOGETHER = 12
 
 
 def gram_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,8 +118,8 @@ def parted(x: list[bytes], y: list[bytes]) -> np.ndarray:
 class Bands:
     """Sizes in geometric bands, and what each band's segments are."""
 
-    def __init__(self, least: float, ratio: float = 1.3, deletable: float = 0.1):
-        self.least, self.ratio, self.deletable = least, ratio, deletable
+    def __init__(self, least: float, ratio: float = 1.3, deletable: float = 0.1, slack: float = 1.3):
+        self.least, self.ratio, self.deletable, self.slack = least, ratio, deletable, slack
         self.rate = (1 - least) / (1 + least)
         self.top = [1]
         while self.top[-1] < 1 << 40:
@@ -129,7 +134,7 @@ class Bands:
         return np.floor(self.rate * (r + s) + 1e-9).astype(np.int64)
 
     def segments(self, band: np.ndarray) -> np.ndarray:
-        return self.differ(self.high[band], self.high[band]) + 1
+        return np.ceil((self.differ(self.high[band], self.high[band]) + 1) * self.slack).astype(np.int64)
 
     def widest(self, r: np.ndarray) -> np.ndarray:
         """The last band in which a larger partner of a set of size r may lie."""
@@ -189,7 +194,11 @@ def signatures(gram: np.ndarray, size: np.ndarray, bands: Bands, logdf: np.ndarr
             out_sig.append(mix(sums[place[gone]] - value[gone] + tag[place[gone]]))
             out_doc.append(d[of[gone]])
             out_probe.append(np.zeros(len(gone), dtype=bool))
-        cost = np.bincount(place, weights=f, minlength=total)  # log of the frequency product; 0 for an empty segment
+        # log of the frequency: that of the rarest gram is an upper bound, the product what independent grams would have
+        product = np.bincount(place, weights=f, minlength=total)
+        rarest = np.zeros(total)
+        np.minimum.at(rarest, place, f.astype(np.float64))
+        cost = rarest + 0.1 * (product - rarest)  # 0 for an empty segment
         need = bands.differ(r, bands.high[band]) + 1
         spare = m - need
         order = np.lexsort((-cost, owner))  # dearest first within a document
@@ -224,27 +233,44 @@ def signatures(gram: np.ndarray, size: np.ndarray, bands: Bands, logdf: np.ndarr
 
 
 def _packed(bucket: np.ndarray, low: np.ndarray, doc: np.ndarray, probe: np.ndarray, keys: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Rows (bucket, keys, body): of each bucket, the keys of its documents and 5 + 3 bytes an entry."""
-    order = np.argsort(bucket, kind="stable")
+    """Rows (bucket, keys, counts, body): of each bucket, its documents' keys, how many entries of each are indexed and probe, and 4 bytes an entry.
+
+    A signature keeps 32 bits beside its bucket: what meets by chance is sorted out when it is verified.
+    """
+    order = np.lexsort((probe, doc, bucket))
     bucket, low, doc, probe = bucket[order], low[order], doc[order], probe[order]
-    cut = np.concatenate([np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), [len(bucket)]]) if len(bucket) else np.zeros(1, dtype=int)
-    rows = []
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        known, local = np.unique(doc[a:b], return_inverse=True)
-        entry = np.zeros((b - a, 8), dtype=np.uint8)
-        entry[:, :5] = low[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-        entry[:, 5:] = (local.astype("<u4") * 2 + probe[a:b]).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-        rows.append((int(bucket[a]), keys[known].tobytes(), entry.tobytes()))
-    for at in range(0, len(rows), 2000):
-        yield pd.DataFrame(rows[at : at + 2000], columns=["bucket", "keys", "body"])
-
-
-def _unpacked(keys: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    entry = np.frombuffer(body, dtype=np.uint8).reshape(-1, 8)
-    low, tail = np.zeros((len(entry), 8), dtype=np.uint8), np.zeros((len(entry), 4), dtype=np.uint8)
-    low[:, :5], tail[:, :3] = entry[:, :5], entry[:, 5:]
-    x = tail.view("<u4").ravel()
-    return low.view("<u8").ravel(), np.frombuffer(keys, dtype=np.int64)[x >> 1], (x & 1).astype(bool)
+    head = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1])))) if len(bucket) else np.zeros(0, dtype=int)
+    many = np.diff(np.concatenate([head, [len(bucket)]]))
+    asks = np.add.reduceat(probe.astype(np.int64), head) if len(head) else many
+    counts = np.stack([many - asks, asks], 1).astype("<u4")
+    own, first = keys[doc[head]], np.concatenate([head, [len(bucket)]])
+    cut = np.concatenate([np.flatnonzero(np.concatenate(([True], bucket[head][1:] != bucket[head][:-1]))), [len(head)]]) if len(head) else [0]
+    rows = [(int(bucket[head[i]]), own[i:j].tobytes(), counts[i:j].tobytes(), low[first[i] : first[j]].astype("<u4").tobytes()) for i, j in zip(cut[:-1], cut[1:])]
+    for at in range(0, len(rows), 500):
+        yield pd.DataFrame(rows[at : at + 500], columns=["bucket", "keys", "counts", "body"])
+
+
+def _unpacked(keys: bytes, counts: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signature, key and whether it probes, of every entry."""
+    n = np.frombuffer(counts, dtype="<u4").astype(np.int64)
+    return np.frombuffer(body, dtype="<u4"), np.repeat(np.frombuffer(keys, dtype=np.int64), n.reshape(-1, 2).sum(1)), np.repeat(np.tile([False, True], len(n) // 2), n)
+
+
+def _short(gram: np.ndarray) -> bytes:
+    """Grams in six bytes each."""
+    return gram.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : GRAM_BITS // 8].tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) * 8 // GRAM_BITS, 8), dtype=np.uint8)
+    out[:, : GRAM_BITS // 8] = np.frombuffer(data, dtype=np.uint8).reshape(-1, GRAM_BITS // 8)
+    return out.view("<u8").ravel()
+
+
+def _unique(pairs: np.ndarray) -> np.ndarray:
+    """Distinct rows of pairs, in order."""
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    return pairs[np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(1)))] if len(pairs) else pairs
 
 
 def meetings(sig: np.ndarray, key: np.ndarray, probe: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -272,7 +298,7 @@ def meetings(sig: np.ndarray, key: np.ndarray, probe: np.ndarray) -> Iterator[tu
         i = np.repeat(mine, ahead[mine])
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(ahead[mine]) - ahead[mine], ahead[mine])
         ok = (probes[i] & index[j]) | (index[i] & probes[j])
-        pair = np.unique(np.stack([key[i[ok]], key[j[ok]]], 1), axis=0) if ok.any() else np.zeros((0, 2), dtype=np.int64)
+        pair = _unique(np.stack([key[i[ok]], key[j[ok]]], 1))
         yield pair[:, 0], pair[:, 1]
         at = to
 
@@ -280,10 +306,10 @@ def meetings(sig: np.ndarray, key: np.ndarray, probe: np.ndarray) -> Iterator[tu
 class Join:
     """The self-join's tables: ``ids`` (id, key1, key2, size), one row a document, and ``pairs`` of distinct sets."""
 
-    def __init__(self, docs: DataFrame, n: int = 2, least: float = 0.75, key: str = "doc_id", text: str = "text", ratio: float = 1.3, deletable: float = 0.1, target: int = 32):
+    def __init__(self, docs: DataFrame, n: int = 2, least: float = 0.75, key: str = "doc_id", text: str = "text", ratio: float = 1.3, deletable: float = 0.1, slack: float = 1.3, target: int = 32):
         self.n, self.least, self.id_type = n, least, docs.schema[key].dataType
         self.docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-        self.bands = Bands(least, ratio, deletable)
+        self.bands = Bands(least, ratio, deletable, slack)
         self.target = target
         once = materialise(self._ids())
         self.ids = once.filter("key1 is not null").select("id", "key1", "key2", "size")
@@ -292,9 +318,7 @@ class Join:
         #: documents of each bucket of grams, over all documents, and their number
         self.df, self.n_docs = counted[:-1], int(counted[-1])
         met = materialise(self._candidates())
-        release(docs.sparkSession)  # the index
-        self.pairs = materialise(self._verified(materialise(self._near(met))))
-        release(docs.sparkSession)
+        self.pairs = materialise(self._verified(materialise(self._near(self._placed(met)))))
 
     def _ids(self) -> DataFrame:
         """In one pass over the texts, a row for each document that has a set, and each task's document frequencies."""
@@ -317,13 +341,12 @@ class Join:
         spark = self.docs.sparkSession
         df, n_docs = self.df, self.n_docs
         logdf = np.log(np.minimum(1.0, (df + 1.0) / max(1, n_docs))).astype(np.float32)
-        # dear: a subset that more than the target number of documents, or a mean bucket's worth, are likely to share
-        bad = float(np.log(min(0.5, max(self.target / max(1, n_docs), 2 * float(df.mean() + 1) / max(1, n_docs)))))
+        # dear: a subset that more documents are likely to share than the target, or than chance puts in a bucket of the table
+        mean = float(df.mean())
+        bad = float(np.log(min(0.5, (mean + max(self.target, 6 * math.sqrt(mean))) / max(1, n_docs))))
         n, bands = self.n, self.bands
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200")) * 8
-        grams = max(1, int(df.sum()))
-        # buckets grow with the grams, about two million entries in each at most
-        buckets = max(buckets, math.ceil(grams * 1.5 / 2e6))
+        # buckets grow with the grams, so that each has about a million entries
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), math.ceil(int(df.sum()) * 1.2 / ENTRIES))
 
         def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held: list[tuple[np.ndarray, ...]] = []
@@ -337,10 +360,10 @@ class Join:
                 gram, size = gram_sets(pdf["text"].tolist(), n)
                 key, _ = set_keys(gram, size)
                 sig, doc, probe = signatures(gram, size, bands, logdf, bad)
-                held.append(((sig >> np.uint64(40)).astype(np.int64) % buckets, sig & np.uint64((1 << 40) - 1), (doc + docs).astype(np.int32), probe))
+                held.append(((sig >> np.uint64(40)).astype(np.int64) % buckets, (sig & np.uint64(0xFFFFFFFF)).astype(np.uint32), (doc + docs).astype(np.int32), probe))
                 keys.append(key)
                 have, docs = have + len(sig), docs + len(size)
-                if have > 3_000_000 or docs > 4_000_000:
+                if have > ENTRIES:
                     yield from flush()
                     held, keys, have, docs = [], [], 0, 0
             if held:
@@ -348,47 +371,83 @@ class Join:
 
         def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at, parts = None, []
+            known = np.zeros((0, 2), dtype=np.int64)
 
-            def pairs() -> Iterator[pd.DataFrame]:
-                for a, b in meetings(*(np.concatenate(x) for x in zip(*parts))):
-                    yield pd.DataFrame({"a": a, "b": b})
+            def pairs() -> None:
+                nonlocal known
+                new = [known, *(np.stack(x, 1) for x in meetings(*(np.concatenate(x) for x in zip(*parts))))]
+                known = _unique(np.concatenate(new))
 
             for pdf in batches:
-                for bucket, keys, body in zip(pdf["bucket"], pdf["keys"], pdf["body"]):
+                for bucket, keys, counts, body in zip(pdf["bucket"], pdf["keys"], pdf["counts"], pdf["body"]):
                     if bucket != at and parts:
-                        yield from pairs()
+                        pairs()
                         parts = []
+                        if len(known) > HELD:
+                            yield pd.DataFrame(known, columns=["a", "b"])
+                            known = known[:0]
                     at = bucket
-                    parts.append(_unpacked(keys, body))
+                    parts.append(_unpacked(keys, counts, body))
             if parts:
-                yield from pairs()
+                pairs()
+            yield pd.DataFrame(known, columns=["a", "b"])
 
-        packed = self.docs.select("text").mapInPandas(index, "bucket int, keys binary, body binary")
-        met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(meet, "a long, b long").distinct()
+        # a task takes several buckets, and gives a pair that it met in more than one of them once
+        tasks = math.ceil(buckets / TOGETHER)
+        packed = self.docs.select("text").mapInPandas(index, "bucket int, keys binary, counts binary, body binary")
+        met = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInPandas(meet, "a long, b long").distinct()
         # sets whose first hashes are equal and second ones not: too rare to see, but theirs is the right to be verified
         same = self.ids.groupBy("key1").agg(F.min("key2").alias("lo"), F.max("key2").alias("hi")).filter("lo <> hi").select(F.col("key1").alias("a"), F.col("key1").alias("b"))
         return met.unionByName(same)
 
-    def _near(self, met: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sizes and sketches don't tell that they differ in too much. No similar pair is lost."""
-        least, differ = self.least, self.bands.differ
-        one = self.sketches.dropDuplicates(["key1", "key2"])
-        side = lambda x: one.select(F.col("key1").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                r, s = pdf["na"].to_numpy(), pdf["nb"].to_numpy()
-                pdf = pdf[(np.minimum(r, s) >= least * np.maximum(r, s) - 1e-9)]
-                if len(pdf):
-                    ok = parted(pdf["sa"].tolist(), pdf["sb"].tolist()) <= differ(pdf["na"].to_numpy(), pdf["nb"].to_numpy())
-                    yield pdf.loc[ok, ["a", "b"]]
-
-        return met.join(side("a"), "a").join(side("b"), "b").mapInPandas(work, "a long, b long").distinct()
+    def _placed(self, met: DataFrame) -> DataFrame:
+        """The pairs (a, b) with the cell that each is looked at in.
 
-    def _verified(self, candidates: DataFrame) -> DataFrame:
+        Sets with the same least partner lie together, 2,048 at most, so that a set is copied to the cells that its partners
+        lie in, one mostly, and not to each partner. Cells grow with the pairs, 300,000 in each in the mean at most.
+        """
+        least_of = F.least("a", "b").alias("l")
+        label = met.select(F.col("a").alias("k"), least_of).union(met.select("b", least_of)).groupBy("k").agg(F.min("l").alias("l"))
+        many = label.groupBy("l").agg(F.ceil(F.count("*") / 2048).alias("n"))
+        label = materialise(label.join(many, "l").select("k", F.xxhash64("l", F.pmod(F.xxhash64("k"), F.col("n"))).alias("at")))
+        cells = max(4 * int(met.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), math.ceil(met.count() / 3e5))
+        placed = met.join(label.withColumnsRenamed({"k": "a", "at": "la"}), "a").join(label.withColumnsRenamed({"k": "b", "at": "lb"}), "b")
+        return placed.select("a", "b", F.pmod(F.xxhash64(F.least("la", "lb"), F.greatest("la", "lb")), F.lit(cells)).alias("cell"))
+
+    @staticmethod
+    def _sent(placed: DataFrame, to: DataFrame) -> DataFrame:
+        """Rows of sets, once for each cell that a pair of theirs is looked at in."""
+        wanted = placed.select(F.col("a").alias("key1"), F.col("cell").alias("at")).union(placed.select("b", "cell")).distinct()
+        return to.join(wanted, "key1")
+
+    def _near(self, placed: DataFrame) -> DataFrame:
+        """The pairs whose sizes and sketches don't tell that they differ in too much. No similar pair is lost."""
+        least, differ = self.least, self.bands.differ
+        placed = materialise(placed)
+
+        def work(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+            sets = sets.sort_values("key1")
+            key, size, sketch = sets["key1"].to_numpy(), sets["size"].to_numpy(), sets["sketch"].tolist()
+            twice = np.zeros(len(key) + 1, dtype=bool)  # of several sets with one first hash any may be meant
+            twice[1:-1] = key[1:] == key[:-1]
+            twice[:-1] |= twice[1:]
+            i, j = np.searchsorted(key, pairs["a"].to_numpy()), np.searchsorted(key, pairs["b"].to_numpy())
+            unsure = twice[i] | twice[j]
+            look = unsure | (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9)
+            pairs, i, j, unsure = pairs[look], i[look], j[look], unsure[look]
+            keep = np.zeros(len(pairs), dtype=bool)
+            for at in range(0, len(pairs), 20_000):
+                x, y = i[at : at + 20_000], j[at : at + 20_000]
+                keep[at : at + 20_000] = parted([sketch[k] for k in x], [sketch[k] for k in y]) <= differ(size[x], size[y])
+            return pairs[keep | unsure]
+
+        sent = self._sent(placed, self.sketches.dropDuplicates(["key1", "key2"]).select("key1", "size", "sketch"))
+        return placed.groupBy("cell").cogroup(sent.groupBy("at")).applyInPandas(work, "a long, b long, cell long")
+
+    def _verified(self, placed: DataFrame) -> DataFrame:
         """(a1, a2, b1, b2, jaccard): pairs of different sets by their hashes; a before b."""
         n, least = self.n, self.least
-        keys = candidates.select(F.col("a").alias("key1")).union(candidates.select("b")).distinct()
+        keys = placed.select(F.col("a").alias("key1")).union(placed.select("b")).distinct()
         one = self.ids.groupBy("key1", "key2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("x"), F.max("size").alias("size")).join(keys, "key1", "left_semi").select("key1", "key2", "size", F.col("x.id").alias("id"))
         one = materialise(one)
         # texts of the sets in question, one document a set: a bitmap of fixed size spares the others the way to the join
@@ -400,26 +459,15 @@ class Join:
                 gram, size = gram_sets(pdf["text"].tolist(), n)
                 a, b = set_keys(gram, size)
                 ends = np.cumsum(size)
-                yield pd.DataFrame({"key1": a, "key2": b, "grams": [gram[e - s : e].tobytes() for e, s in zip(ends, size)]})[size > 0]
+                yield pd.DataFrame({"key1": a, "key2": b, "grams": [_short(gram[e - s : e]) for e, s in zip(ends, size)]})[size > 0]
 
         found = materialise(self.docs.select("text", slot).mapInPandas(sets, "key1 long, key2 long, grams binary"))
-        found = found.join(one.select("key1", "key2"), ["key1", "key2"], "left_semi").dropDuplicates(["key1", "key2"])
-        # pairs meet their sets in cells: sets with the same least partner lie together, 512 at most, so that a set is copied
-        # to the cells that its partners lie in, one mostly, and not to each partner
-        least_of = F.least("a", "b").alias("l")
-        label = candidates.select(F.col("a").alias("k"), least_of).union(candidates.select("b", least_of)).groupBy("k").agg(F.min("l").alias("l"))
-        many = label.groupBy("l").agg(F.ceil(F.count("*") / 512).alias("n"))
-        label = label.join(many, "l").select("k", F.struct("l", F.pmod(F.xxhash64("k"), F.col("n")).alias("sub")).alias("at"))
-        cells = 4 * int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-        placed = candidates.join(label.withColumnsRenamed({"k": "a", "at": "la"}), "a").join(label.withColumnsRenamed({"k": "b", "at": "lb"}), "b")
-        placed = materialise(placed.select("a", "b", F.pmod(F.xxhash64(F.least("la", "lb"), F.greatest("la", "lb")), F.lit(cells)).alias("cell")))
-        wanted = placed.select(F.col("a").alias("key1"), "cell").union(placed.select("b", "cell")).distinct()
-        sent = found.join(wanted, "key1").select("key1", "key2", "grams", F.col("cell").alias("at"))
+        sent = self._sent(placed, found)
 
         def verify(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
             by: dict[int, list[tuple[int, np.ndarray]]] = {}
-            for k1, k2, g in zip(sets["key1"], sets["key2"], sets["grams"]):
-                by.setdefault(k1, []).append((k2, np.frombuffer(g, dtype=np.uint64)))
+            for (k1, k2), g in {(k1, k2): g for k1, k2, g in zip(sets["key1"], sets["key2"], sets["grams"])}.items():
+                by.setdefault(k1, []).append((k2, _long(g)))
             out = []
             pairs = pairs.sort_values("a")
             a_of, b_of = pairs["a"].to_numpy(), pairs["b"].to_numpy()
@@ -427,7 +475,7 @@ class Join:
             for i, j in zip(cut[:-1], cut[1:]):
                 a = int(a_of[i])
                 for a2, x in by.get(a, ()):
-                    others = [(int(b), b2, y) for b in b_of[i:j] for b2, y in by.get(int(b), ()) if (int(b), b2) != (a, a2) and min(len(x), len(y)) >= least * max(len(x), len(y)) - 1e-9]
+                    others = [(int(b), b2, y) for b in b_of[i:j] for b2, y in by.get(int(b), ()) if (int(b) != a or b2 > a2) and min(len(x), len(y)) >= least * max(len(x), len(y)) - 1e-9]
                     for at in range(0, len(others), 2000):
                         some = others[at : at + 2000]
                         n_of = np.array([len(y) for _, _, y in some])
@@ -439,8 +487,7 @@ class Join:
             return pd.DataFrame(out, columns=["a1", "a2", "b1", "b2", "jaccard"]).astype({"a1": "int64", "a2": "int64", "b1": "int64", "b2": "int64", "jaccard": "float64"})
 
         schema = "a1 long, a2 long, b1 long, b2 long, jaccard double"
-        # a set with the same first hash meets itself from both sides: one of the two rows stays
-        return placed.groupBy("cell").cogroup(sent.groupBy("at")).applyInPandas(verify, schema).dropDuplicates(["a1", "a2", "b1", "b2"])
+        return placed.groupBy("cell").cogroup(sent.groupBy("at")).applyInPandas(verify, schema)
 
     def rows(self) -> DataFrame:
         """(doc_a, doc_b, jaccard) of all pairs of documents with ids a < b, those with equal sets included."""
@@ -448,7 +495,10 @@ class Join:
         a, b = ids.select(F.col("id").alias("ia"), F.col("key1").alias("a1"), F.col("key2").alias("a2")), ids.select(F.col("id").alias("ib"), F.col("key1").alias("b1"), F.col("key2").alias("b2"))
         near = self.pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).filter("ia <> ib").select(F.least("ia", "ib").alias("doc_a"), F.greatest("ia", "ib").alias("doc_b"), "jaccard")
         equal = a.join(b, (F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2")) & (F.col("ia") < F.col("ib"))).select(F.col("ia").alias("doc_a"), F.col("ib").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-        return near.unionByName(equal).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+        every = near.unionByName(equal)
+        # a pair comes twice only where an id has several sets
+        repeated = ids.groupBy("id").count().filter("count > 1").limit(1).count()
+        return every.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")) if repeated else every
 
     def groups(self, rounds: int = 50) -> DataFrame:
         """(id, first): each document with a partner and the least id of its group, the groups being connected by pairs.
