@@ -1,5 +1,7 @@
 """The pipeline's stages one after another on a small table, and the query registry."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +41,19 @@ def test_stages(spark, tables, tmp_path):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, docs.collect()))
 
 
+def test_copies_with_a_tenth_of_the_words_edited(spark, tmp_path):
+    rng = random.Random(5)
+    text = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    swapped = [f"new{i}" if i % 10 == 4 else w for i, w in enumerate(text)]
+    dropped = [w for i, w in enumerate(text) if i % 12 != 4]
+    other = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate([text, swapped, dropped, other])], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    pairs = {(r["doc_a"], r["doc_b"]) for r in entry.queries()["op5_ngram_jaccard_join"](spark, str(tmp_path)).collect()}
+    assert {(0, 1), (0, 2)} <= pairs and not any(3 in p for p in pairs)
+    assert {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, str(tmp_path)).collect()} == {0, 3}
+
+
 def test_one_query_an_operator():
     names = list(entry.queries())
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
