@@ -88,14 +88,24 @@ class Model:
             score[none, -1] = 0
         return doc, start - starts[doc], end - starts[doc], score
 
-    def label(self, texts: list[str | None]) -> list[tuple[str, float, int, list[tuple[int, int, str]]]]:
-        """Language, its share of the words, words, spans of each text."""
+    def states(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all words document, start, end and state; each text's number of words, and of its words in each state."""
         doc, start, end, score = self.words(texts)
         used = np.flatnonzero((score > -1e3).any(0))  # states that no word of the batch can take are left out
         n = np.bincount(doc, minlength=len(texts))
         k = len(used)
         state = used[viterbi(score[:, used], n, np.full((k, k), -self.penalty) + np.eye(k) * self.penalty)] if len(doc) else np.zeros(0, dtype=int)
         share = np.bincount(doc * len(self.labels) + state, minlength=len(texts) * len(self.labels)).reshape(len(texts), -1)
+        return doc, start, end, state, n, share
+
+    def known(self, texts: list[str | None]) -> np.ndarray:
+        """Share of each text's words in known languages, all of them together; 0 without words."""
+        *_, n, share = self.states(texts)
+        return share[:, :-1].sum(1) / np.maximum(n, 1)
+
+    def label(self, texts: list[str | None]) -> list[tuple[str, float, int, list[tuple[int, int, str]]]]:
+        """Language, its share of the words, words, spans of each text."""
+        doc, start, end, state, n, share = self.states(texts)
         # first words of spans: another document or another state than the word before
         new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (state[1:] != state[:-1])))) if len(doc) else np.zeros(0, dtype=int)
         last = np.concatenate((new[1:], [len(doc)])) - 1 if len(new) else new
@@ -157,11 +167,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows, unchanged, of which at least ``least`` of the words are in known languages. One pass, no shuffle."""
+    """The rows, unchanged, of which at least ``least`` of the words are in known languages, whichever they are. One pass, no shuffle."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pieces(batches, text):
-            found = model.label(pdf[text].tolist())
-            yield pdf[[lang != "und" and share >= least for lang, share, _, _ in found]]
+            known = model.known(pdf[text].tolist())
+            yield pdf[(known > 0) & (known >= least)]
 
     return docs.mapInPandas(work, docs.schema)

@@ -190,6 +190,16 @@ def test_spans_of_mixed_text(spark):
     assert found == ["en", "de", "ru"]
 
 
+def test_mixed_texts_are_accepted_by_all_known_words(spark):
+    model = langid.train(spark.createDataFrame([], "doc_id long, text string, lang string"))
+    some = lambda name, n: " ".join((langid.SEEDS[name].split() * 2)[:n])
+    odd = lambda n: " ".join(["ሰላም"] * n)
+    texts = [f"{some('en', 40)} {some('de', 35)} {some('fr', 25)}", f"{some('en', 48)} {some('fr', 48)} {odd(4)}", f"{some('en', 20)} {some('de', 20)} {odd(60)}", "", None, "123 !!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [share < 0.5 for _, share, _, _ in model.label(texts[:2])] == [True, True]
+    assert {r["doc_id"] for r in langid.accepted(df, model).collect()} == {0, 1}
+
+
 # n-gram Jaccard
 
 def test_jaccard_is_exact(spark):
