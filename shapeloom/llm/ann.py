@@ -232,8 +232,9 @@ class Search:
             ids, vec = pdf["id"].to_numpy()[order], _units(pdf["v"], dim)[order]
             one, inverse = np.unique(vec, axis=0, return_inverse=True)
             inverse = inverse.ravel()
-            by = np.argsort(inverse, kind="stable")  # keys of each node in order
-            first = np.concatenate(([0], np.cumsum(np.bincount(inverse, minlength=len(one)))))
+            by = np.argsort(inverse, kind="stable")  # distinct keys of each node in order
+            by = by[np.concatenate(([True], (inverse[by][1:] != inverse[by][:-1]) | (ids[by][1:] != ids[by][:-1])))]
+            first = np.concatenate(([0], np.cumsum(np.bincount(inverse[by], minlength=len(one)))))
             draw = mix(mix(pd.util.hash_array(ids[by[first[:-1]]])) + np.uint64(1))
             graph, place = Graph.build(one, draw, m, build_beam)
             count = np.diff(first)[place]
@@ -268,17 +269,18 @@ class Search:
             for a, dist, node in graph.search(vec, max(beam, k + 1)):
                 for i in range(len(node)):
                     own = ids[a + i]
-                    nn, dd = [], []
+                    met: set = set()  # distinct distances and keys
+                    far = math.inf
                     for d, x in zip(dist[i].tolist(), node[i].tolist()):
-                        if x < 0:
+                        d = max(0.0, round(d, 6))
+                        if x < 0 or d > far:
                             break
-                        for other in keys[start[x] : start[x] + min(count[x], 2 * k + 2)].tolist():
+                        for other in keys[start[x] : start[x] + min(count[x], k + 1)].tolist():
                             if other != own:
-                                nn.append(other)
-                                dd.append(max(0.0, round(d, 6)))
-                        if len(nn) >= k and (len(dd) < k + 1 or dd[-1] > dd[k - 1]):
-                            break
-                    best = sorted(set(zip(dd, nn)))[:k]
+                                met.add((d, other))
+                        if len(met) >= k and far == math.inf:
+                            far = d
+                    best = sorted(met)[:k]
                     out_n.append([x for _, x in best])
                     out_d.append([x for x, _ in best])
             return pd.DataFrame({"id": ids, "ns": out_n, "ds": out_d})

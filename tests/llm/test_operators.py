@@ -395,3 +395,13 @@ def test_few_vectors(spark, vectors):
     assert sorted(map(tuple, ann.neighbours(df.filter("vec_id < 3")).select("vec_id", "rank").collect())) == [(i, k) for i in range(3) for k in (1, 2)]
     copies = ann.neighbours(df.filter("vec_id = 5").union(df.filter("vec_id = 5")).union(df.filter("vec_id = 6")))
     assert {(r["vec_id"], r["neighbour"]) for r in copies.collect()} == {(5, 6), (6, 5)}
+
+
+def test_a_repeated_key_counts_once(spark, vectors):
+    x, _ = vectors
+    rows = [(7, x[0].tolist())] * 30 + [(i, x[0].tolist()) for i in range(8, 12)] + [(i, x[i].tolist()) for i in range(200, 230)]
+    got = defaultdict(list)
+    for r in ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("vec_id", "rank").collect():
+        got[r["vec_id"]].append(r["neighbour"])
+    assert all(len(v) == len(set(v)) == 10 and k not in v for k, v in got.items()) and len(got) == 35
+    assert got[7][:4] == [8, 9, 10, 11] and got[8][:4] == [7, 9, 10, 11]
