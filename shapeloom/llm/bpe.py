@@ -114,9 +114,14 @@ class Codec:
         for number, m in enumerate(self.pattern.finditer(text)):
             data = m.group().encode("utf-8", "surrogatepass")
             if len(data) > size:
-                if held:
-                    out.append((-1, b"".join(held)))
-                    held, have = [], 0
+                # white space before it goes piece by piece: alone at the end of a part, its pieces would be one
+                tail = len(held)
+                while tail and held[tail - 1].decode("utf-8", "surrogatepass").isspace():
+                    tail -= 1
+                if tail:
+                    out.append((-1, b"".join(held[:tail])))
+                out += [(number - len(held) + k, held[k]) for k in range(tail, len(held))]
+                held, have = [], 0
                 out += [(number, data[k : k + size]) for k in range(0, len(data), size)]
                 continue
             held.append(data)

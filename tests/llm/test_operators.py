@@ -140,6 +140,15 @@ def test_far_parts_join_and_decode(spark):
         assert r["tokens"] == own.inner.encode_ordinary(r["text"]) and r["back"] == r["text"] and r["n_tokens"] == len(r["tokens"])
 
 
+def test_blank_lines_before_a_far_run(spark):
+    rng = random.Random(6)
+    run = lambda n: "".join(rng.choice("thaeionsr") for _ in range(n))
+    texts = ["words " * 150 + f"ab{blank}" + run(2000) + " and more" for blank in ("\n\n", "\n", "\n\n\n", " \n \n", "\n\n\t")] + ["\n\n" + run(3000)]
+    own = bpe.codec()
+    for r in bpe.decode(bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), far=1024), to="back").collect():
+        assert r["tokens"] == own.inner.encode_ordinary(r["text"]) and r["back"] == r["text"]
+
+
 def test_decoding_what_is_no_token(spark):
     df = spark.createDataFrame([(0, [1, None]), (1, [10**6]), (2, []), (3, None), (4, [255])], "i int, tokens array<int>")
     assert [r["text"] for r in bpe.decode(df).orderBy("i").collect()][:4] == [None, None, "", None]
