@@ -116,11 +116,11 @@ class Model:
         return [(self.labels[t] if m else "und", round(float(row[t]) / m, 6) if m else 0.0, int(m), s) for t, m, row, s in zip(top.tolist(), n.tolist(), share, spans)]
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400, penalty: float = 6.0, chars: int = 4000) -> Model:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400, penalty: float = 6.0) -> Model:
     """Trigram models of the languages of ``SEEDS``, from a bounded sample of labelled rows.
 
     The sample is the documented bound: rows whose hash of ``key`` falls under ``per_language`` in expectation of each
-    language's rows, read to ``chars`` characters. Only counts of trigrams, of fixed size, reach the driver.
+    language's rows, whole. Only counts of trigrams, of fixed size, reach the driver.
     """
     latin = sorted(SEEDS)
     n = {r[lang]: r["n"] for r in docs.filter(F.col(lang).isin(latin)).groupBy(lang).agg(F.count("*").alias("n")).collect()}
@@ -131,11 +131,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
         keep: Column = F.lit(False)
         for name, rows in n.items():
             keep = keep | ((F.col(lang) == name) & (F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) < int(min(1.0, per_language / rows) * (1 << 30))))
-        sample = docs.filter(keep).select(F.col(lang).alias("lang"), F.substring(F.col(text), 1, chars).alias("text"))
+        sample = docs.filter(keep).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros((len(latin), 1 << BITS), dtype=np.int64)
-            for pdf in batches:
+            for pdf in pieces(batches, "text"):
                 for i, name in enumerate(latin):
                     cp, _ = joined(pdf.loc[pdf["lang"] == name, "text"].tolist())
                     total[i] += np.bincount(_trigrams(table("lower")[cp])[table("alpha")[cp]], minlength=1 << BITS)

@@ -199,6 +199,11 @@ def test_spans_of_mixed_text(spark):
     assert found == ["en", "de", "ru"]
 
 
+def test_models_learn_from_whole_texts(spark):
+    df = spark.createDataFrame([(0, "the house " * 400 + "qvxqvx " * 2000, "en")], "doc_id long, text string, lang string")
+    assert langid.train(df).label(["qvxqvx qvxqvx qvxqvx"])[0][:2] == ("en", 1.0)
+
+
 def test_mixed_texts_are_accepted_by_all_known_words(spark):
     model = langid.train(spark.createDataFrame([], "doc_id long, text string, lang string"))
     some = lambda name, n: " ".join((langid.SEEDS[name].split() * 2)[:n])
