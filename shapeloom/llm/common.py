@@ -6,13 +6,16 @@ that grows with the corpus is sent to the driver or broadcast.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters of text that one numpy pass takes; a longer document is a pass of its own.
 BATCH_CHARS = 1_000_000
@@ -50,6 +53,42 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for path in df.inputFiles()[:1]:
+            at = jvm.org.apache.hadoop.fs.Path(path).getParent()
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with marks until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def lean(work: Callable) -> Callable:
+    """A function of batches that gives the memory it has freed back to the system when it ends: an executor's tasks keep their Python."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        trim()
+
+    return run
+
+
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def pieces(batches: Iterator[pd.DataFrame], text: str, limit: int = BATCH_CHARS) -> Iterator[pd.DataFrame]:
     """The batches cut between rows so that each has about ``limit`` characters of text; empty ones are left out."""
     for pdf in batches:
@@ -220,3 +259,14 @@ def slots(marks: DataFrame, n: int) -> np.ndarray:
         yield blob_rows(np.packbits(seen))
 
     return collect_blobs(marks.mapInPandas(mark, "part int, data binary"), n // 8, "uint8", bits=True)
+
+
+def in_slots(packed: np.ndarray) -> Callable[[Column], Column]:
+    """A test of slot numbers against a bitmap; only the numbers go to Python."""
+
+    @F.pandas_udf("boolean")
+    def test(slot: pd.Series) -> pd.Series:
+        at = slot.to_numpy(dtype=np.int64)
+        return pd.Series((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+
+    return test

@@ -3,28 +3,34 @@
 A document is the set of its word n-grams (words: runs of letters and digits, in lower case; a text of fewer than n words is
 one gram of all of them), as 48-bit hashes. Two sets of sizes r <= s with Jaccard at least t differ in at most
 (1 - t) / (1 + t) * (r + s) grams. Sizes fall into geometric bands. In a band whose largest size is h, the universe is
-hashed into m segments, ``slack`` times one more than sets of size h may differ in. So two similar sets agree in one segment:
-pigeonhole. A set is indexed in its own band with all its segments, and probes its own and every larger band that
+hashed into m segments. Two similar sets can't differ by more than the threshold in all that are looked up: pigeonhole. A set is indexed in its own band with all its segments, and probes its own and every larger band that
 a partner may lie in, with
 
 * threshold 0: the segment's subset, that must be met exactly;
-* threshold 1: the subset and its one-deletion neighbourhood, that meets any subset within one gram; the first
-  ``deletable`` share of the segments is indexed with these neighbourhoods, too;
+* threshold 1: the subset and its one-deletion neighbourhood, that meets any subset within one gram, all of which are indexed with
+  theirs; two subsets that each lack a gram of their own aren't within one, and don't meet;
 * threshold -1: no lookup.
 
-A probe's thresholds need to sum, plus one each, to one more than it may differ in. They are allocated by cost: a subset
+A probe's thresholds need to sum, plus one each, to one more than it may differ in. m is ``slack`` times that for sets of size h, a half at least,
+so thresholds of 1 always suffice. They are allocated by cost, the cheapest lookups first until the sum is reached: a subset
 costs the document frequency of its rarest gram, lowered a little by the others' (counted over all documents in a hashed table
-of fixed size; grams of a shared passage come together, so their product alone would say too little). So empty and common subsets are left out first, paid for by spare segments and by neighbourhoods of rare subsets.
-An empty one is looked up only where nothing is left to pay with.
+of fixed size; grams of a shared passage come together, so their product alone would say too little), a neighbourhood what its subsets cost.
+An empty subset costs all documents: it is looked up only where nothing is left to pay with.
+
+Groups of copies would meet in every segment, all with all. So sets are first put together by what their minima under 32 hash
+functions share (``_loose``). That only says where a pair is looked at, and any such grouping gives the same result: pairs within
+a group are all looked at in the group's cells, a block of sets against a block, and pairs that meet in the index are
+passed on only where they aren't of one group. A group of any size is work for as many cells as it has pairs of blocks.
 
 Meeting pairs whose sketches (parities of bucket counts) differ in more places than the sets may are no
 candidates; that is exact, too. The others are verified on the sets. Equal sets are joined by their 128-bit hash, not by the index.
 
-Signatures travel packed, four bytes each beside their bucket, in blobs by bucket that name each document once.
+Signatures travel packed, four bytes each, in blobs by task that name each document once.
 
-Defined cases: a null or empty text, or one without words, has no set and no partners; very long texts are read whole;
-rows with equal ids aren't partners of each other; ties don't arise, the result is exact; an empty table gives
-an empty result; other columns don't take part.
+Defined cases: a null or empty text, or one without words, has no set, no class and no links; very long texts are read whole;
+ties don't arise, the result is exact; an empty table gives an empty result; other columns don't take part. Rows that repeat an
+id are rows of their own in ``classes`` and keep what their own text says; in the pairs of ``join``, rows of one id aren't
+partners of each other, and rows without id have none.
 """
 
 from __future__ import annotations
@@ -34,10 +40,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import blob_rows, collect_blobs, joined, materialise, mix, pieces, runs, slots, table, word_hashes
+from .common import blob_rows, collect_blobs, discard, fresh, in_slots, joined, lean, materialise, mix, pieces, runs, slots, table, word_hashes
 
 #: Bits of a gram's hash; the rest of a word holds the document's place in a batch, of which there are 2**16 at most.
 GRAM_BITS = 48
@@ -54,6 +62,19 @@ HELD = 2_000_000
 #: Entries that a task or bucket has in memory at a time, and buckets that one task takes after one another.
 ENTRIES = 1_000_000
 TOGETHER = 12
+#: Minima of a set, minima a band of them, and how many have to agree for two sets to be put together.
+MINIMA = 32
+ROWS = 4
+AGREE = 14
+#: Sets of a block of a group, and first members that a shared band of minima is compared with.
+BLOCK = 2000
+FIRSTS = 16
+#: How much of a subset's cost is what independent grams would have, in the logarithm.
+TOGETHERNESS = 0.3
+#: What is indexed and what is looked up; ``flag >> 2 & flag``: the first looks for the second. What an entry may have.
+WHOLE, LESS, ASK_WHOLE, ASK_LESS = 1, 2, 4, 8
+KINDS = np.array([1, 5, 13, 2, 6, 4, 12], dtype=np.uint8)
+_ODD = mix(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def gram_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,6 +114,21 @@ def set_keys(gram: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[0], out[1]
 
 
+def minima(gram: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set, a byte of its minimum under each of ``MINIMA`` hash functions, and a hash of every ``ROWS`` of the minima."""
+    low = np.zeros((len(size), MINIMA), dtype=np.uint64)
+    some = np.flatnonzero(size)
+    if len(some):
+        first = (np.cumsum(size) - size)[some]
+        for k in range(MINIMA):
+            low[some, k] = np.minimum.reduceat((gram << np.uint64(64 - GRAM_BITS)) * _ODD[k], first)
+    low = mix(low)
+    band = np.zeros((len(size), MINIMA // ROWS), dtype=np.uint64)
+    for k in range(ROWS):
+        band = mix(band * np.uint64(0x9E3779B97F4A7C15) + low[:, k::ROWS] + np.arange(band.shape[1], dtype=np.uint64))
+    return (low >> np.uint64(56)).astype(np.uint8), band.view(np.int64)
+
+
 def sketches(gram: np.ndarray, size: np.ndarray) -> list[bytes]:
     """Of each set, the parities of its grams' counts in 2**k >= size buckets (8 at least), as packed bits.
 
@@ -106,23 +142,11 @@ def sketches(gram: np.ndarray, size: np.ndarray) -> list[bytes]:
     return [packed[b >> 3 : (b + w) >> 3] for b, w in zip(base.tolist(), wide.tolist())]
 
 
-def parted(x: list[bytes], y: list[bytes]) -> np.ndarray:
-    """Places in which the sketches of each pair differ: at most the grams that the sets differ in."""
-    out = np.zeros(len(x), dtype=np.int64)
-    n = np.array([(len(a), len(b)) for a, b in zip(x, y)], dtype=np.int64).reshape(-1, 2)
-    for m, k in np.unique(n, axis=0).tolist():
-        at = np.flatnonzero((n[:, 0] == m) & (n[:, 1] == k))
-        least = min(m, k)
-        a, b = (np.bitwise_xor.reduce(np.frombuffer(b"".join(z[i] for i in at), dtype=np.uint8).reshape(len(at), -1, least), axis=1) for z in (x, y))
-        out[at] = np.bitwise_count(a ^ b).sum(1)
-    return out
-
-
 class Bands:
     """Sizes in geometric bands, and what each band's segments are."""
 
-    def __init__(self, least: float, ratio: float = 1.3, deletable: float = 0.1, slack: float = 1.3):
-        self.least, self.ratio, self.deletable, self.slack = least, ratio, deletable, slack
+    def __init__(self, least: float, ratio: float = 1.67, slack: float = 0.7):
+        self.least, self.ratio, self.slack = least, ratio, slack
         self.rate = (1 - least) / (1 + least)
         self.top = [1]
         while self.top[-1] < 1 << 40:
@@ -158,12 +182,30 @@ def _sums(place: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return low + (high << np.uint64(32))
 
 
-def signatures(gram: np.ndarray, size: np.ndarray, bands: Bands, logdf: np.ndarray, bad: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, document, is it a probe) of all sets: what is indexed in their own bands and what probes."""
+def _order(first: np.ndarray, value: np.ndarray, reverse: bool = False) -> np.ndarray:
+    """The order by ``first`` (below 2**24), then by ``value`` (below 2**16) and place: one sort of packed numbers. ``reverse``: the greatest value first."""
+    v = value.astype(np.uint64)
+    if reverse:
+        v = np.uint64(0xFFFF) - v
+    packed = np.sort((first.astype(np.uint64) << np.uint64(40)) | (v << np.uint64(24)) | np.arange(len(first), dtype=np.uint64)) if len(first) < 1 << 24 and first.max(initial=0) < 1 << 24 else None
+    return np.lexsort((v, first)) if packed is None else (packed & np.uint64(0xFFFFFF)).astype(np.int64)
+
+
+def signatures(gram: np.ndarray, size: np.ndarray, bands: Bands, logdf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, document, flags) of all sets, each document and signature once in a band.
+
+    Flags: ``WHOLE`` and ``LESS`` for a subset, and one without a gram, that is indexed in the set's own band; ``ASK_WHOLE`` and ``ASK_LESS`` for what it looks up.
+    """
     some = np.flatnonzero(size)
-    out_sig, out_doc, out_probe = [], [], []
+    out_sig, out_doc, out_role = [], [], []
+
+    def give(sig: np.ndarray, doc: np.ndarray, role: np.ndarray) -> None:
+        out_sig.append(mix(sig))
+        out_doc.append(doc)
+        out_role.append(role.astype(np.uint8))
+
     if not len(some):
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint8)
     s = size[some].astype(np.int64)
     own, widest = bands.of(s), bands.widest(s)
     lf = logdf[(gram >> np.uint64(GRAM_BITS - DF_BITS)).astype(np.int64)]
@@ -188,75 +230,85 @@ def signatures(gram: np.ndarray, size: np.ndarray, bands: Bands, logdf: np.ndarr
         tag = mix(salt[owner] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         sums = _sums(place, value, total)
         many = np.bincount(place, minlength=total)
-        soft = number < np.ceil(bands.deletable * m)[owner]
-        if step == 0:
-            out_sig.append(mix(sums + tag))
-            out_doc.append(d[owner])
-            out_probe.append(np.zeros(total, dtype=bool))
-            gone = np.flatnonzero(soft[place] & (many[place] >= 4))
-            out_sig.append(mix(sums[place[gone]] - value[gone] + tag[place[gone]]))
-            out_doc.append(d[of[gone]])
-            out_probe.append(np.zeros(len(gone), dtype=bool))
-        # log of the frequency: that of the rarest gram is an upper bound, the product what independent grams would have
+        # a subset's cost, the documents that share it: at most those of its rarest gram, at least what independent grams would have
+        by = _order(place, np.minimum(-f * 4096, 0xFFFF), reverse=True)
+        ordered, to = f[by].astype(np.float64), place[by]
+        begins = np.concatenate(([True], to[1:] != to[:-1])) if len(to) else np.zeros(0, dtype=bool)
+        least, second = np.zeros(total), np.zeros(total)
+        least[to[begins]] = ordered[begins]
+        next_ = np.flatnonzero(begins[:-1] & ~begins[1:]) + 1 if len(to) else np.zeros(0, dtype=int)
+        second[to[next_]] = ordered[next_]
         product = np.bincount(place, weights=f, minlength=total)
-        rarest = np.zeros(total)
-        np.minimum.at(rarest, place, f.astype(np.float64))
-        cost = rarest + 0.1 * (product - rarest)  # 0 for an empty segment
-        need = bands.differ(r, bands.high[band]) + 1
-        spare = m - need
-        order = np.lexsort((-cost, owner))  # dearest first within a document
-        rank = np.empty(total, dtype=np.int64)
-        rank[order] = np.arange(total) - base[owner[order]]
-        dear = np.bincount(owner, weights=cost > bad, minlength=len(d)).astype(np.int64)
-        can = soft & (many >= 3) & (cost <= bad)
-        able = np.bincount(owner, weights=can, minlength=len(d)).astype(np.int64)
-        extra = np.minimum(np.maximum(dear - spare, 0), able)  # thresholds of 1 that are paid with
-        skipped = rank < (spare + extra)[owner]
-        # neighbourhoods: the cheapest of those that are able and stay
-        order = np.lexsort((cost, ~can, owner))
-        cheap = np.empty(total, dtype=np.int64)
-        cheap[order] = np.arange(total) - base[owner[order]]
-        wide = can & (cheap < extra[owner])
-        clash = wide & skipped  # a segment can't be left out and widened: leaving out fewer keeps the sum
-        lost = np.bincount(owner, weights=clash, minlength=len(d)).astype(np.int64)
-        fix = np.flatnonzero(lost)
-        if len(fix):
-            skipped &= ~np.isin(owner, fix)
-            wide &= ~np.isin(owner, fix)
-            skipped |= np.isin(owner, fix) & (rank < spare[owner])
-        look = ~skipped
-        out_sig.append(mix(sums[look] + tag[look]))
-        out_doc.append(d[owner[look]])
-        out_probe.append(np.ones(int(look.sum()), dtype=bool))
-        gone = np.flatnonzero(wide[place])
-        out_sig.append(mix(sums[place[gone]] - value[gone] + tag[place[gone]]))
-        out_doc.append(d[of[gone]])
-        out_probe.append(np.ones(len(gone), dtype=bool))
-    return np.concatenate(out_sig), np.concatenate(out_doc), np.concatenate(out_probe)
-
-
-def _packed(bucket: np.ndarray, low: np.ndarray, doc: np.ndarray, probe: np.ndarray, keys: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Rows (bucket, keys, counts, body): of each bucket, its documents' keys, how many entries of each are indexed and probe, and 4 bytes an entry.
-
-    A signature keeps 32 bits beside its bucket: what meets by chance is sorted out when it is verified.
+        price = lambda rarest, every: np.exp(rarest + TOGETHERNESS * (every - rarest))
+        rest = np.where(begins, second[to], least[to]) if len(to) else ordered
+        one = price(least, product)  # 1 for an empty segment: all documents
+        more = np.bincount(to, weights=price(rest, product[to] - ordered), minlength=total)
+        # each of the first lookups counts one towards the need, a neighbourhood one more: the cheapest that suffice
+        need = bands.differ(r, np.minimum(bands.high[band], np.floor(r / bands.least + 1e-9).astype(np.int64))) + 1
+        cost = np.concatenate([one, np.maximum(one, more)])
+        order = _order(np.tile(owner, 2), np.minimum(np.log(np.maximum(cost, 1e-12)) * 1500 + 41_500, 0xFFFF))
+        rank = np.empty(2 * total, dtype=np.int64)
+        rank[order] = np.arange(2 * total) - 2 * base[owner[order % total]]
+        chosen = rank < np.tile(need[owner], 2)
+        chosen, wide = chosen[:total], chosen[total:]
+        # a neighbourhood: subsets without one gram that are whole ones of others, and the whole one that is others' without one gram
+        flags = np.where(chosen, ASK_WHOLE, 0) | np.where(wide, ASK_LESS, 0) | (WHOLE if step == 0 else 0)
+        use = np.flatnonzero(flags)
+        give(sums[use] + tag[use], d[owner[use]], flags[use])
+        flags = np.where(wide, ASK_WHOLE, 0) | (LESS if step == 0 else 0)
+        gone = np.flatnonzero(flags[place])
+        give(sums[place[gone]] - value[gone] + tag[place[gone]], d[of[gone]], flags[place[gone]])
+    return np.concatenate(out_sig), np.concatenate(out_doc), np.concatenate(out_role)
+
+
+def _packed(task: np.ndarray, low: np.ndarray, doc: np.ndarray, flag: np.ndarray, keys: np.ndarray, labels: np.ndarray, sizes: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Rows (task, keys, labels, sizes, counts, body): of each task, its documents' keys, groups (none if no document has one) and sizes, how many entries of each kind each has, and 4 bytes an entry.
+
+    A signature keeps 32 bits beside its task: what meets by chance is sorted out when it is verified.
     """
-    order = np.lexsort((probe, doc, bucket))
-    bucket, low, doc, probe = bucket[order], low[order], doc[order], probe[order]
-    head = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1])))) if len(bucket) else np.zeros(0, dtype=int)
-    many = np.diff(np.concatenate([head, [len(bucket)]]))
-    asks = np.add.reduceat(probe.astype(np.int64), head) if len(head) else many
-    counts = np.stack([many - asks, asks], 1).astype("<u4")
-    own, first = keys[doc[head]], np.concatenate([head, [len(bucket)]])
-    cut = np.concatenate([np.flatnonzero(np.concatenate(([True], bucket[head][1:] != bucket[head][:-1]))), [len(head)]]) if len(head) else [0]
-    rows = [(int(bucket[head[i]]), own[i:j].tobytes(), counts[i:j].tobytes(), low[first[i] : first[j]].astype("<u4").tobytes()) for i, j in zip(cut[:-1], cut[1:])]
-    for at in range(0, len(rows), 500):
-        yield pd.DataFrame(rows[at : at + 500], columns=["bucket", "keys", "counts", "body"])
-
-
-def _unpacked(keys: bytes, counts: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signature, key and whether it probes, of every entry."""
-    n = np.frombuffer(counts, dtype="<u4").astype(np.int64)
-    return np.frombuffer(body, dtype="<u4"), np.repeat(np.frombuffer(keys, dtype=np.int64), n.reshape(-1, 2).sum(1)), np.repeat(np.tile([False, True], len(n) // 2), n)
+    kind = np.zeros(16, dtype=np.uint64)
+    kind[KINDS] = np.arange(len(KINDS), dtype=np.uint64)
+    place = (task.astype(np.uint64) << np.uint64(44)) | (doc.astype(np.uint64) << np.uint64(24)) | (kind[flag] << np.uint64(20))
+    order = np.argsort(place)
+    place, low = place[order] >> np.uint64(20), low[order]
+    head = np.flatnonzero(np.concatenate(([True], place[1:] >> np.uint64(4) != place[:-1] >> np.uint64(4)))) if len(place) else np.zeros(0, dtype=int)
+    row = np.repeat(np.arange(len(head)), np.diff(np.concatenate([head, [len(place)]])))
+    counts = np.bincount(row * len(KINDS) + (place & np.uint64(15)).astype(np.int64), minlength=len(head) * len(KINDS)).reshape(-1, len(KINDS)).astype("<u4")
+    own, task = ((place[head] >> np.uint64(4)) & np.uint64(0xFFFFF)).astype(np.int64), (place[head] >> np.uint64(24)).astype(np.int64)
+    first = np.concatenate([head, [len(place)]])
+    cut = np.concatenate([np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1]))), [len(head)]]) if len(head) else [0]
+    rows = []
+    for i, j in zip(cut[:-1], cut[1:]):
+        at, n = own[i:j], counts[i:j]
+        rows.append((int(task[i]), keys[at].tobytes(), labels[at].tobytes() if labels[at].any() else b"", sizes[at].astype("<u4").tobytes(), (n.astype("<u2") if n.max() < 1 << 16 else n).tobytes(), low[first[i] : first[j]].astype("<u4").tobytes()))
+    for at in range(0, len(rows), 50):
+        yield pd.DataFrame(rows[at : at + 50], columns=["task", "keys", "labels", "sizes", "counts", "body"])
+
+
+def _index(batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], bands: Bands, logdf: np.ndarray, tasks: int) -> Iterator[pd.DataFrame]:
+    """The packed index of (grams, sizes, groups); a set that a task meets again soon isn't indexed twice."""
+    held: list[tuple[np.ndarray, ...]] = []
+    names: list[tuple[np.ndarray, ...]] = []
+    have = docs = 0
+    known: set[int] = set()
+    for gram, size, label in batches:
+        key, _ = set_keys(gram, size)
+        if len(known) > HELD // 4:
+            known.clear()
+        fresh = np.zeros(len(key), dtype=bool)
+        for i, k in enumerate(key.tolist()):
+            fresh[i] = size[i] > 0 and k not in known
+            known.add(k)
+        gram, size, key, label = gram[np.repeat(fresh, size)], size[fresh], key[fresh], label[fresh]
+        sig, doc, role = signatures(gram, size, bands, logdf)
+        held.append(((sig >> np.uint64(32)).astype(np.int64) % tasks, (sig & np.uint64(0xFFFFFFFF)).astype(np.uint32), (doc + docs).astype(np.int32), role))
+        names.append((key, label, size))
+        have, docs = have + len(sig), docs + len(size)
+        if have > ENTRIES:
+            yield from _packed(*(np.concatenate(x) for x in zip(*held)), *(np.concatenate(x) for x in zip(*names)))
+            held, names, have, docs = [], [], 0, 0
+    if held:
+        yield from _packed(*(np.concatenate(x) for x in zip(*held)), *(np.concatenate(x) for x in zip(*names)))
 
 
 def _short(gram: np.ndarray) -> bytes:
@@ -276,58 +328,204 @@ def _unique(pairs: np.ndarray) -> np.ndarray:
     return pairs[np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(1)))] if len(pairs) else pairs
 
 
-def meetings(sig: np.ndarray, key: np.ndarray, probe: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of different keys, of which one probes and one is indexed under the same signature; a < b, distinct within a pass."""
-    order = np.lexsort((key, sig))
-    sig, key, probe = sig[order], key[order], probe[order]
-    # one entry a key and signature, with both of its roles
-    new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]))) if len(sig) else np.zeros(0, dtype=bool)
-    first = np.flatnonzero(new)
-    if not len(first):
+def meetings(entries: np.ndarray, label: np.ndarray, size: np.ndarray, least: float) -> Iterator[np.ndarray]:
+    """Pairs of different documents, of which one looks for what the other has, but those of one group (``label``, 0: none) and those whose sizes tell that they aren't similar.
+
+    ``entries``: signature << 28 | document << 4 | flags; ``label`` and ``size`` by document. Pairs are a << 32 | b for a < b, distinct and in order within a pass.
+    """
+    entries = np.sort(entries)
+    sig = (entries >> np.uint64(28)).astype(np.uint32)
+    head = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, dtype=int)
+    many = np.diff(np.concatenate([head, [len(sig)]]))
+    both = np.bitwise_or.reduceat((entries & np.uint64(15)).astype(np.uint8), head) if len(head) else np.zeros(0, dtype=np.uint8)
+    use = np.repeat((many > 1) & ((both >> 2) & both > 0), many)
+    entries, sig = entries[use], sig[use]
+    if not len(entries):
         return
-    probes = np.logical_or.reduceat(probe, first)
-    index = np.logical_or.reduceat(~probe, first)
-    sig, key = sig[first], key[first]
-    head = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-    size = np.diff(np.concatenate([head, [len(sig)]]))
-    stop = np.repeat(head + size, size)
-    ahead = stop - np.arange(len(sig)) - 1  # entries after this one under the same signature
-    use = np.flatnonzero(ahead > 0)
-    upto = np.cumsum(ahead[use])
-    at = 0
-    while at < len(use):
-        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
-        mine = use[at:to]
-        i = np.repeat(mine, ahead[mine])
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(ahead[mine]) - ahead[mine], ahead[mine])
-        ok = (probes[i] & index[j]) | (index[i] & probes[j])
-        pair = _unique(np.stack([key[i[ok]], key[j[ok]]], 1))
-        yield pair[:, 0], pair[:, 1]
-        at = to
+    flag = (entries & np.uint64(15)).astype(np.uint8)
+    doc = ((entries >> np.uint64(4)) & np.uint64(0xFFFFFF)).astype(np.int64)
+    list_ = np.cumsum(np.concatenate(([0], sig[1:] != sig[:-1])))
+    # what asks against what is indexed, but the index's run of its own group
+    known, group = np.unique(np.concatenate([[0], label]), return_inverse=True)
+    zero, group, width = group[0], group[1:], len(known)
+    code = list_ * width + group[doc]
+    for ask, has in ((ASK_WHOLE, WHOLE), (ASK_LESS, LESS)):
+        asks, entry = np.flatnonzero(flag & ask), np.flatnonzero(flag & has)
+        own = code[entry]
+        if (own[1:] < own[:-1]).any():
+            order = np.argsort(own, kind="stable")
+            entry, own = entry[order], own[order]
+        start = list_[asks] * width
+        low, high = np.searchsorted(own, start), np.searchsorted(own, start + width)
+        free = group[doc[asks]] == zero
+        left = np.where(free, low, np.searchsorted(own, code[asks]))
+        right = np.where(free, low, np.searchsorted(own, code[asks], side="right"))
+        for a, b in ((low, left), (right, high)):
+            ahead = b - a
+            some = np.flatnonzero(ahead > 0)
+            upto = np.cumsum(ahead[some])
+            at = 0
+            while at < len(some):
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
+                mine = some[at:to]
+                n = ahead[mine]
+                x = np.repeat(doc[asks[mine]], n)
+                y = doc[entry[np.repeat(a[mine] - (np.cumsum(n) - n), n) + np.arange(len(x))]]
+                r, s = size[x], size[y]
+                ok = (x != y) & (np.minimum(r, s) >= least * np.maximum(r, s) - 1e-9)
+                x, y = x[ok], y[ok]
+                yield np.unique((np.minimum(x, y) << 32) | np.maximum(x, y))
+                at = to
+
+
+def _matrix(grams: list[np.ndarray], left: int) -> np.ndarray:
+    """How many grams each of the first ``left`` sets shares with each of the others; with each of them all where ``left`` is their number."""
+    n = len(grams)
+    size = np.array([len(g) for g in grams])
+    of = np.repeat(np.arange(n), size)
+    token, inverse, df = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    rows, columns = left, n if left == n else n - left
+    out = np.zeros((rows, columns), dtype=np.float32)
+    dense = df > max(1, n // 8)
+    number = np.cumsum(dense) - 1
+    hit = dense[inverse]
+    where, row = number[inverse[hit]], of[hit]
+    width = int(dense.sum())
+    for a in range(0, width, 1024):  # grams of many: a product of matrices
+        some = (where >= a) & (where < a + 1024)
+        m = np.zeros((n, min(1024, width - a)), dtype=np.float32)
+        m[row[some], where[some] - a] = 1
+        out += m[:left] @ (m if left == n else m[left:]).T
+    rare = np.flatnonzero(~dense[inverse] & (df[inverse] > 1))  # grams of few: each pair of them
+    if len(rare):
+        rare = rare[np.argsort(inverse[rare], kind="stable")]
+        t, r = inverse[rare], of[rare]
+        stop = np.searchsorted(t, t, side="right")
+        ahead = stop - np.arange(len(t)) - 1
+        use = np.flatnonzero(ahead > 0)
+        upto = np.cumsum(ahead[use])
+        at, flat = 0, out.reshape(-1)
+        while at < len(use):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
+            mine = use[at:to]
+            i = np.repeat(mine, ahead[mine])
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(ahead[mine]) - ahead[mine], ahead[mine])
+            x, y = r[i], r[j]
+            if left == n:
+                place = np.concatenate([x * columns + y, y * columns + x])
+            else:
+                across = (x < left) != (y < left)
+                place = np.minimum(x, y)[across] * columns + np.maximum(x, y)[across] - left
+            flat += np.bincount(place, minlength=len(flat)).astype(np.float32)
+            at = to
+    return out
+
+
+def _forest(linked: np.ndarray, square: bool) -> list[tuple[int, int]]:
+    """Pairs (first, other) that connect what a matrix of links connects; columns of one that isn't square are numbered after its rows."""
+    rows, columns = linked.shape
+    n = rows if square else rows + columns
+    left = np.ones(n, dtype=bool)
+    out = []
+    for root in range(rows):
+        if not left[root]:
+            continue
+        left[root] = False
+        front = np.array([root])
+        while len(front):
+            if square:
+                reach = linked[front].any(0)
+            else:
+                reach = np.zeros(n, dtype=bool)
+                reach[rows:] = linked[front[front < rows]].any(0)
+                reach[:rows] = linked[:, front[front >= rows] - rows].any(1)
+            front = np.flatnonzero(reach & left)
+            left[front] = False
+            out += [(root, int(x)) for x in front]
+    return out
+
+
+PAIR_ROWS = "cell int, kind int, keys binary, sizes binary, sketch binary"
+
+
+def _group(key: np.ndarray, groups: int) -> np.ndarray:
+    return ((key.view(np.uint64) >> np.uint64(40)) % np.uint64(groups)).astype(np.int64)
+
+
+class _Sketches:
+    """The sketches of one or two groups of sets, by the groups and 32 bits of their hashes."""
+
+    def __init__(self, blobs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], groups: int):
+        key, size, bits = (np.concatenate(x) for x in zip(*blobs)) if blobs else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint8))
+        wide = np.maximum(8, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)) >> 3
+        first = np.cumsum(wide) - wide
+        code = self._code(_group(key, groups), key)
+        order = np.argsort(code, kind="stable")
+        self.code, self.key, self.size, self.wide, self.first, self.bits, self.groups = code[order], key[order], size[order], wide[order], first[order], bits, groups
+
+    @staticmethod
+    def _code(group: np.ndarray, key: np.ndarray) -> np.ndarray:
+        return (group.astype(np.uint64) << np.uint64(32)) | (key.astype(np.uint64) & np.uint64(0xFFFFFFFF))
+
+    def find(self, pairs: np.ndarray, g: int, h: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the sets that pairs of short names mean, each with each where a name is shared."""
+        of, names = [], [self._code(np.full(len(pairs), x), pairs[:, k]) for k, x in enumerate((g, h))]
+        for c in names:
+            a, b = np.searchsorted(self.code, c), np.searchsorted(self.code, c, side="right")
+            of.append((a, b - a))
+        (a, m), (b, n) = of
+        if (m == 1).all() and (n == 1).all():
+            return a, b
+        times = m * n
+        row = np.repeat(np.arange(len(pairs)), times)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+        x, y = a[row] + k // np.maximum(n[row], 1), b[row] + k % np.maximum(n[row], 1)
+        keep = x != y
+        return x[keep], y[keep]
+
+    def parted(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Places in which the sketches of each pair differ, the longer folded to the shorter: at most the grams that the sets differ in."""
+        out = np.zeros(len(x), dtype=np.int64)
+        m, k = self.wide[x], self.wide[y]
+        for a, b in np.unique(np.stack([m, k], 1), axis=0).tolist() if len(x) else ():
+            at = np.flatnonzero((m == a) & (k == b))
+            short = min(a, b)
+            for u in range(0, len(at), max(1, 4_000_000 // max(a, b))):
+                some = at[u : u + max(1, 4_000_000 // max(a, b))]
+                p, q = (np.bitwise_xor.reduce(self.bits[self.first[z[some]][:, None] + np.arange(w)].reshape(len(some), -1, short), axis=1) for z, w in ((x, a), (y, b)))
+                out[some] = np.bitwise_count(p ^ q).sum(1)
+        return out
 
 
 class Join:
-    """The self-join's tables: ``ids`` (id, key1, key2, size), one row a document, and ``pairs`` of distinct sets."""
+    """The self-join's tables: ``ids`` (id, key1, key2, size), one row a document with a set, and what was found on distinct sets."""
 
-    def __init__(self, docs: DataFrame, n: int = 2, least: float = 0.75, key: str = "doc_id", text: str = "text", ratio: float = 1.3, deletable: float = 0.1, slack: float = 1.3, target: int = 32):
+    def __init__(self, docs: DataFrame, n: int = 2, least: float = 0.75, key: str = "doc_id", text: str = "text", ratio: float = 1.67, slack: float = 0.7, block: int = BLOCK):
         self.n, self.least, self.id_type = n, least, docs.schema[key].dataType
         self.docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-        self.bands = Bands(least, ratio, deletable, slack)
-        self.target = target
+        self.bands = Bands(least, ratio, slack)
+        self.block = block
         once = materialise(self._ids())
-        self.ids = once.filter("key1 is not null").select("id", "key1", "key2", "size")
-        self.sketches = once.filter("key1 is not null").select("key1", "key2", "size", "sketch")
+        some = once.filter("key1 is not null")
+        self.ids = some.select("id", "key1", "key2", "size")
+        #: documents without a set
+        self.none = once.filter("key1 is null and part is null").select("id")
+        self.sketches = some.select("key1", "key2", "size", "sketch")
         counted = collect_blobs(once.filter("part is not null").select("part", "data"), (1 << DF_BITS) + 1, "int32").astype(np.int64)
         #: documents of each bucket of grams, over all documents, and their number
         self.df, self.n_docs = counted[:-1], int(counted[-1])
-        met = materialise(self._candidates())
-        self.pairs = materialise(self._verified(materialise(self._near(self._placed(met)))))
+        self.grouped = self._grouped(self._loose(some.select("key1", "low", "bands")))
+        self.groups = max(1, min(math.ceil(self.n_docs / 65_536), max(8, math.ceil(self.n_docs / 524_288))))
+        near = materialise(self._near(self._candidates()))
+        #: pairs of sets that aren't of one group
+        self.apart = materialise(self._verified(materialise(self._placed(near))))
 
     def _ids(self) -> DataFrame:
         """In one pass over the texts, a row for each document that has a set, and each task's document frequencies."""
         n = self.n
-        columns = ["id", "key1", "key2", "size", "sketch", "part", "data"]
+        columns = ["id", "key1", "key2", "size", "sketch", "low", "bands", "part", "data"]
 
+        @lean
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total, docs = np.zeros(1 << DF_BITS, dtype=np.int32), 0
             for pdf in pieces(batches, "text"):
@@ -335,95 +533,248 @@ class Join:
                 total += np.bincount((gram >> np.uint64(GRAM_BITS - DF_BITS)).astype(np.int64), minlength=1 << DF_BITS).astype(np.int32)
                 docs += int((size > 0).sum())
                 a, b = set_keys(gram, size)
-                yield pd.DataFrame({"id": pdf["id"].to_numpy(), "key1": a, "key2": b, "size": size, "sketch": sketches(gram, size), "part": None, "data": None})[size > 0]
+                low, band = minima(gram, size)
+                yield pd.DataFrame({"id": pdf["id"].to_numpy(), "key1": a, "key2": b, "size": size, "sketch": sketches(gram, size), "low": [x.tobytes() for x in low], "bands": [x.tobytes() for x in band], "part": None, "data": None})[size > 0]
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[size == 0]}, columns=columns).astype(object).where(lambda x: x.notna(), None)
             yield blob_rows(np.concatenate([total, np.array([docs], dtype=np.int32)])).reindex(columns=columns).astype(object).where(lambda x: x.notna(), None)
 
-        return self.docs.mapInPandas(work, f"id {self.id_type.simpleString()}, key1 long, key2 long, size long, sketch binary, part int, data binary")
+        return self.docs.mapInPandas(work, f"id {self.id_type.simpleString()}, key1 long, key2 long, size long, sketch binary, low binary, bands binary, part int, data binary")
+
+    def _loose(self, rows: DataFrame) -> DataFrame:
+        """(key1, label, blocks): sets that are put together, the groups' names and in how many blocks they are.
+
+        Sets with a band of minima in common are compared, by all their minima, with the first of those that have it; a task does so with
+        its own rows before they are sent, so that a group of any size is sent a few times a task.
+        """
+
+        def compared(batches: Iterator[pd.DataFrame], firsts: int) -> Iterator[pd.DataFrame]:
+            """Of rows in order of sig, those that begin a group, and (key, leader) for those that join one."""
+            at, lead = None, []
+            for pdf in batches:
+                sig, key, leader, low = pdf["sig"].to_numpy(), pdf["key"].to_numpy(), pdf["leader"].tolist(), pdf["low"].tolist()
+                alone = np.ones(len(sig), dtype=bool)
+                same = sig[1:] == sig[:-1]
+                alone[1:] &= ~same
+                alone[:-1] &= ~same
+                alone[[0, -1]] = False
+                keep = alone.copy()
+                to: list = [None] * len(sig)
+                for i in np.flatnonzero(~alone).tolist():
+                    if low[i] is None:  # an edge that is known
+                        keep[i], to[i] = True, leader[i]
+                        continue
+                    if sig[i] != at:
+                        at, lead = sig[i], []
+                    mine = np.frombuffer(low[i], dtype=np.uint8)
+                    for k, x in lead:
+                        if k == key[i]:
+                            break
+                        if int((x == mine).sum()) >= AGREE:
+                            keep[i], to[i] = True, k
+                            break
+                    else:
+                        keep[i] = True
+                        if len(lead) < firsts:
+                            lead.append((int(key[i]), mine))
+                yield pd.DataFrame({"sig": sig[keep], "key": key[keep], "low": [x if y is None else None for x, y, k in zip(low, to, keep) if k], "leader": np.array([y or 0 for y, k in zip(to, keep) if k], dtype=np.int64)})
+
+        @lean
+        def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            def told() -> Iterator[pd.DataFrame]:
+                for pdf in batches:
+                    pdf = pdf.drop_duplicates("key1")
+                    band = np.frombuffer(b"".join(pdf["bands"]), dtype=np.int64).reshape(len(pdf), -1)
+                    key = np.repeat(pdf["key1"].to_numpy(), band.shape[1])
+                    order = np.lexsort((key, band.ravel()))
+                    yield pd.DataFrame({"sig": band.ravel()[order], "key": key[order], "low": pdf["low"].to_numpy().repeat(band.shape[1])[order], "leader": 0})
+
+            for pdf in told():
+                yield from compared(iter([pdf]), FIRSTS)
+
+        @lean
+        def theirs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in compared((x for x in batches if len(x)), FIRSTS):
+                edge = pdf[pdf["low"].isna()]
+                yield pd.DataFrame({"x": edge["key"], "y": edge["leader"]})
+
+        schema = "sig long, key long, low binary, leader long"  # leader: where there are no minima
+        sent = rows.mapInPandas(mine, schema)
+        edge = sent.repartition("sig").sortWithinPartitions("sig", "key").mapInPandas(theirs, "x long, y long").filter("x <> y")
+        edge = materialise(edge.union(edge.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+        # any labels will do: a few rounds, whether they have settled or not
+        label = edge.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("v"), F.least("x", "m").alias("l"))
+        for _ in range(3):
+            label = materialise(label)
+            label = _hooked(edge, label).select("v", F.col("new").alias("l"))
+        label = materialise(label)
+        blocks = label.groupBy("l").agg(F.ceil(F.count("*") / F.lit(self.block)).cast("int").alias("blocks"), F.count("*").alias("c"))
+        return materialise(label.join(blocks, "l").filter("c > 1").select(F.col("v").alias("key1"), F.when(F.col("l") == 0, 1).otherwise(F.col("l")).alias("label"), "blocks"))
+
+    def _sets(self, keys: DataFrame, extra: tuple[str, ...] = ()) -> tuple[np.ndarray, DataFrame]:
+        """A bitmap of documents, one for each set whose key1 is in ``keys``, and the sets (key1, key2, size, grams) of all documents in it.
+
+        The bitmap has a fixed size: it spares other documents the work and the way to a join, which is what decides.
+        """
+        n = self.n
+        one = self.ids.groupBy("key1", "key2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("x")).join(keys.select("key1"), "key1", "left_semi").select(F.col("x.id").alias("id"))
+        slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int").alias("slot")
+        packed = slots(one.select(slot), SLOTS)
+
+        @lean
+        def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            marked = np.unpackbits(packed).astype(bool)
+            known: set[int] = set()
+            for pdf in pieces((x[marked[x["slot"].to_numpy(dtype=np.int64)]] for x in batches), "text"):
+                gram, size = gram_sets(pdf["text"].tolist(), n)
+                a, b = set_keys(gram, size)
+                ends = np.cumsum(size)
+                fresh = size > 0
+                for i, k in enumerate(a.tolist()):
+                    fresh[i] &= k not in known
+                known.update(a.tolist() if len(known) < HELD // 4 else ())
+                some = np.flatnonzero(fresh)
+                yield pd.DataFrame({"key1": a[some], "key2": b[some], "size": size[some], "grams": [_short(gram[ends[i] - size[i] : ends[i]]) for i in some]})
+
+        return packed, self.docs.select("text", slot).mapInPandas(sets, "key1 long, key2 long, size long, grams binary")
+
+    def _grouped(self, labels: DataFrame) -> DataFrame:
+        """(key1, key2, size, grams, label, blocks) of the sets that are in a group; also sets ``slots_of``, the bitmap of theirs."""
+        self.slots_of, sets = self._sets(labels)
+        return materialise(sets.join(labels, "key1", "left"))
 
     def _candidates(self) -> DataFrame:
         spark = self.docs.sparkSession
         df, n_docs = self.df, self.n_docs
         logdf = np.log(np.minimum(1.0, (df + 1.0) / max(1, n_docs))).astype(np.float32)
-        # dear: a subset that more documents are likely to share than the target, or than chance puts in a bucket of the table
-        mean = float(df.mean())
-        bad = float(np.log(min(0.5, (mean + max(self.target, 6 * math.sqrt(mean))) / max(1, n_docs))))
-        n, bands = self.n, self.bands
-        # buckets grow with the grams, so that each has about a million entries
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), math.ceil(int(df.sum()) * 1.2 / ENTRIES))
-
-        def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held: list[tuple[np.ndarray, ...]] = []
-            have = docs = 0
-            keys: list[np.ndarray] = []
+        n, bands, packed, groups, least = self.n, self.bands, self.slots_of, self.groups, self.least
+        # tasks grow with the grams, so that each has about TOGETHER million entries, which it takes a million at a time
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // 3, math.ceil(int(df.sum()) * 2.5 / (TOGETHER * ENTRIES)), 1)
 
-            def flush() -> Iterator[pd.DataFrame]:
-                yield from _packed(*(np.concatenate(x) for x in zip(*held)), np.concatenate(keys))
+        @lean
+        def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            marked = np.unpackbits(packed).astype(bool)
+            told = (gram_sets(pdf["text"].tolist(), n) for pdf in pieces((x[~marked[x["slot"].to_numpy(dtype=np.int64)]] for x in batches), "text"))
+            yield from _index(((gram, size, np.zeros(len(size), dtype=np.int64)) for gram, size in told), bands, logdf, tasks)
 
-            for pdf in pieces(batches, "text"):
-                gram, size = gram_sets(pdf["text"].tolist(), n)
-                key, _ = set_keys(gram, size)
-                sig, doc, probe = signatures(gram, size, bands, logdf, bad)
-                held.append(((sig >> np.uint64(40)).astype(np.int64) % buckets, (sig & np.uint64(0xFFFFFFFF)).astype(np.uint32), (doc + docs).astype(np.int32), probe))
-                keys.append(key)
-                have, docs = have + len(sig), docs + len(size)
-                if have > ENTRIES:
-                    yield from flush()
-                    held, keys, have, docs = [], [], 0, 0
-            if held:
-                yield from flush()
+        @lean
+        def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            told = (pdf.iloc[at : at + 500] for pdf in batches for at in range(0, len(pdf), 500))
+            yield from _index(((_long(b"".join(pdf["grams"])), pdf["size"].to_numpy(dtype=np.int64), pdf["label"].fillna(0).to_numpy(dtype=np.int64)) for pdf in told), bands, logdf, tasks)
 
+        @lean
         def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            at, parts = None, []
-            known = np.zeros((0, 2), dtype=np.int64)
-
-            def pairs() -> Iterator[pd.DataFrame]:
-                nonlocal known
-                new, have = [known], len(known)
-                for x in meetings(*(np.concatenate(x) for x in zip(*parts))):
-                    new.append(np.stack(x, 1))
-                    have += len(x[0])
-                    if have > 2 * HELD:  # a bucket's pairs have no bound: no more than these are held
-                        known = _unique(np.concatenate(new))
-                        if len(known) > HELD:
-                            yield pd.DataFrame(known, columns=["a", "b"])
-                            known = known[:0]
-                        new, have = [known], len(known)
-                known = _unique(np.concatenate(new))
+            keys, labels, sizes, low, doc, flag, docs = [], [], [], [], [], [], 0
+            for pdf in batches:
+                for k, g, z, c, body in zip(pdf["keys"], pdf["labels"], pdf["sizes"], pdf["counts"], pdf["body"]):
+                    m = len(k) // 8
+                    count = np.frombuffer(c, dtype="<u4" if len(c) == 4 * m * len(KINDS) else "<u2").astype(np.int64)
+                    keys.append(np.frombuffer(k, dtype=np.int64))
+                    labels.append(np.frombuffer(g, dtype=np.int64) if g else np.zeros(m, dtype=np.int64))
+                    sizes.append(np.frombuffer(z, dtype="<u4"))
+                    low.append(np.frombuffer(body, dtype="<u4"))
+                    doc.append(np.repeat(np.arange(docs, docs + m, dtype=np.int32), count.reshape(-1, len(KINDS)).sum(1)))
+                    flag.append(np.repeat(np.tile(KINDS, m), count))
+                    docs += m
+            if not keys:
+                return
+            # a set has one place, however many blobs name it
+            key, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+            label = np.zeros(len(key), dtype=np.int64)
+            np.maximum.at(label, place, np.concatenate(labels))
+            low, flag, size = np.concatenate(low), np.concatenate(flag), np.concatenate(sizes)[first].astype(np.int64)
+            doc = place.astype(np.int32)[np.concatenate(doc)]
+            del keys, labels, sizes, place
+            group, short = _group(key, groups), (key & 0xFFFFFFFF).astype(np.uint32)
+            parts = -(-len(low) // ENTRIES)
+
+            def told(pairs: np.ndarray) -> Iterator[pd.DataFrame]:
+                a, b = pairs >> 32, pairs & 0xFFFFFFFF
+                swap = (group[a] > group[b]) | ((group[a] == group[b]) & (short[a] > short[b]))
+                a, b = np.where(swap, b, a), np.where(swap, a, b)
+                cell = group[a] * groups + group[b]
+                order = np.argsort(cell, kind="stable")
+                cell, both = cell[order], np.stack([short[a], short[b]], 1)[order]
+                cut = np.concatenate([np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))), [len(cell)]]) if len(cell) else [0]
+                rows = [(int(cell[i]), 1, both[u : u + 100_000].tobytes(), None, None) for i, j in zip(cut[:-1], cut[1:]) for u in range(i, j, 100_000)]
+                for at in range(0, len(rows), 20):
+                    yield pd.DataFrame(rows[at : at + 20], columns=["cell", "kind", "keys", "sizes", "sketch"])
+
+            known, have = [np.zeros(0, dtype=np.int64)], 0
+            for part in range(parts):
+                some = np.flatnonzero(low % np.uint32(parts) == part)
+                entries = (low[some].astype(np.uint64) << np.uint64(28)) | (doc[some].astype(np.uint64) << np.uint64(4)) | flag[some]
+                for pairs in meetings(entries, label, size, least):
+                    known.append(pairs)
+                    have += len(pairs)
+                    if have > 2 * HELD:  # pairs have no bound: no more than these are held
+                        known = [np.unique(np.concatenate(known))]
+                        have = len(known[0])
+                        if have > HELD:
+                            yield from told(known[0])
+                            known, have = [np.zeros(0, dtype=np.int64)], 0
+            yield from told(np.unique(np.concatenate(known)))
+
+        schema = "task int, keys binary, labels binary, sizes binary, counts binary, body binary"
+        slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int").alias("slot")
+        blobs = self.docs.select("text", slot).mapInPandas(texts, schema).unionByName(self.grouped.select("grams", "size", "label").mapInPandas(sets, schema))
+        return blobs.repartition(tasks, "task").mapInPandas(meet, PAIR_ROWS)
 
+    def _near(self, met: DataFrame) -> DataFrame:
+        """(a, b): the pairs that met whose sketches don't tell that they differ in too much. No similar pair is lost.
+
+        Sets are in ``groups`` by their hash, and pairs in a cell for every two groups, which is where those groups' sketches are sent. A pair names its sets
+        by 32 bits; where two sets of a group share them, each is meant.
+        """
+        groups, differ = self.groups, self.bands.differ
+
+        @lean
+        def blobs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                key, size, sketch = pdf["key1"].to_numpy(), pdf["size"].to_numpy(), pdf["sketch"].to_numpy()
+                of = _group(key, groups)
+                for g in np.unique(of).tolist():
+                    at = np.flatnonzero(of == g)
+                    yield pd.DataFrame({"g": [g], "keys": [key[at].tobytes()], "sizes": [size[at].astype("<u4").tobytes()], "sketch": [b"".join(sketch[at])]})
+
+        @lean
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at, held, ready = None, [], None
             for pdf in batches:
-                for bucket, keys, counts, body in zip(pdf["bucket"], pdf["keys"], pdf["counts"], pdf["body"]):
-                    if bucket != at and parts:
-                        yield from pairs()
-                        parts = []
-                        if len(known) > HELD:
-                            yield pd.DataFrame(known, columns=["a", "b"])
-                            known = known[:0]
-                    at = bucket
-                    parts.append(_unpacked(keys, counts, body))
-            if parts:
-                yield from pairs()
-            yield pd.DataFrame(known, columns=["a", "b"])
-
-        # a task takes several buckets, and gives a pair that it met in more than one of them once
-        tasks = math.ceil(buckets / TOGETHER)
-        packed = self.docs.select("text").mapInPandas(index, "bucket int, keys binary, counts binary, body binary")
-        met = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInPandas(meet, "a long, b long").distinct()
+                for cell, kind, keys, sizes, sketch in zip(pdf["cell"].tolist(), pdf["kind"].tolist(), pdf["keys"], pdf["sizes"], pdf["sketch"]):
+                    if cell != at:
+                        at, held, ready = cell, [], None
+                    if kind == 0:
+                        held.append((np.frombuffer(keys, dtype=np.int64), np.frombuffer(sizes, dtype="<u4").astype(np.int64), np.frombuffer(sketch, dtype=np.uint8)))
+                        continue
+                    if ready is None:
+                        ready = _Sketches(held, groups)
+                        held = []
+                    a, b = ready.find(np.frombuffer(keys, dtype="<u4").reshape(-1, 2), *divmod(cell, groups))
+                    for u in range(0, len(a), 50_000):
+                        x, y = a[u : u + 50_000], b[u : u + 50_000]
+                        near = ready.parted(x, y) <= differ(ready.size[x], ready.size[y])
+                        yield pd.DataFrame({"a": ready.key[x[near]], "b": ready.key[y[near]]})
+
+        told = self.sketches.dropDuplicates(["key1", "key2"]).select("key1", "size", "sketch").mapInPandas(blobs, "g int, keys binary, sizes binary, sketch binary")
+        told = told.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select((F.least("g", "k") * groups + F.greatest("g", "k")).cast("int").alias("cell"), F.lit(0).alias("kind"), "keys", "sizes", "sketch")
+        cells = told.unionByName(met)
+        near = cells.repartition(max(groups * (groups + 1) // 2, 1), "cell").sortWithinPartitions("cell", "kind").mapInPandas(work, "a long, b long")
         # sets whose first hashes are equal and second ones not: too rare to see, but theirs is the right to be verified
         same = self.ids.groupBy("key1").agg(F.min("key2").alias("lo"), F.max("key2").alias("hi")).filter("lo <> hi").select(F.col("key1").alias("a"), F.col("key1").alias("b"))
-        return met.unionByName(same)
+        return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(same).distinct()
 
-    def _placed(self, met: DataFrame) -> DataFrame:
-        """The pairs (a, b) with the cell that each is looked at in.
+    def _placed(self, near: DataFrame) -> DataFrame:
+        """The pairs (a, b) with the cell that each is verified in.
 
         Sets with the same least partner lie together, 2,048 at most, so that a set is copied to the cells that its partners
         lie in, one mostly, and not to each partner. Cells grow with the pairs, 300,000 in each in the mean at most.
         """
         least_of = F.least("a", "b").alias("l")
-        label = met.select(F.col("a").alias("k"), least_of).union(met.select("b", least_of)).groupBy("k").agg(F.min("l").alias("l"))
+        label = near.select(F.col("a").alias("k"), least_of).union(near.select("b", least_of)).groupBy("k").agg(F.min("l").alias("l"))
         many = label.groupBy("l").agg(F.ceil(F.count("*") / 2048).alias("n"))
         label = materialise(label.join(many, "l").select("k", F.xxhash64("l", F.pmod(F.xxhash64("k"), F.col("n"))).alias("at")))
-        cells = max(4 * int(met.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), math.ceil(met.count() / 3e5))
-        placed = met.join(label.withColumnsRenamed({"k": "a", "at": "la"}), "a").join(label.withColumnsRenamed({"k": "b", "at": "lb"}), "b")
+        cells = max(4 * int(near.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), math.ceil(near.count() / 3e5))
+        placed = near.join(label.withColumnsRenamed({"k": "a", "at": "la"}), "a").join(label.withColumnsRenamed({"k": "b", "at": "lb"}), "b")
         return placed.select("a", "b", F.pmod(F.xxhash64(F.least("la", "lb"), F.greatest("la", "lb")), F.lit(cells)).alias("cell"))
 
     @staticmethod
@@ -432,49 +783,11 @@ class Join:
         wanted = placed.select(F.col("a").alias("key1"), F.col("cell").alias("at")).union(placed.select("b", "cell")).distinct()
         return to.join(wanted, "key1")
 
-    def _near(self, placed: DataFrame) -> DataFrame:
-        """The pairs whose sizes and sketches don't tell that they differ in too much. No similar pair is lost."""
-        least, differ = self.least, self.bands.differ
-        placed = materialise(placed)
-
-        def work(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-            sets = sets.sort_values("key1")
-            key, size, sketch = sets["key1"].to_numpy(), sets["size"].to_numpy(), sets["sketch"].tolist()
-            twice = np.zeros(len(key) + 1, dtype=bool)  # of several sets with one first hash any may be meant
-            twice[1:-1] = key[1:] == key[:-1]
-            twice[:-1] |= twice[1:]
-            i, j = np.searchsorted(key, pairs["a"].to_numpy()), np.searchsorted(key, pairs["b"].to_numpy())
-            unsure = twice[i] | twice[j]
-            look = unsure | (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9)
-            pairs, i, j, unsure = pairs[look], i[look], j[look], unsure[look]
-            keep = np.zeros(len(pairs), dtype=bool)
-            for at in range(0, len(pairs), 20_000):
-                x, y = i[at : at + 20_000], j[at : at + 20_000]
-                keep[at : at + 20_000] = parted([sketch[k] for k in x], [sketch[k] for k in y]) <= differ(size[x], size[y])
-            return pairs[keep | unsure]
-
-        sent = self._sent(placed, self.sketches.dropDuplicates(["key1", "key2"]).select("key1", "size", "sketch"))
-        return placed.groupBy("cell").cogroup(sent.groupBy("at")).applyInPandas(work, "a long, b long, cell long")
-
     def _verified(self, placed: DataFrame) -> DataFrame:
         """(a1, a2, b1, b2, jaccard): pairs of different sets by their hashes; a before b."""
-        n, least = self.n, self.least
+        least = self.least
         keys = placed.select(F.col("a").alias("key1")).union(placed.select("b")).distinct()
-        one = self.ids.groupBy("key1", "key2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("x"), F.max("size").alias("size")).join(keys, "key1", "left_semi").select("key1", "key2", "size", F.col("x.id").alias("id"))
-        one = materialise(one)
-        # texts of the sets in question, one document a set: a bitmap of fixed size spares the others the way to the join
-        slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int").alias("slot")
-        marked = np.unpackbits(slots(one.select(slot), SLOTS)).astype(bool)
-
-        def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in pieces((x[marked[x["slot"].to_numpy(dtype=np.int64)]] for x in batches), "text"):
-                gram, size = gram_sets(pdf["text"].tolist(), n)
-                a, b = set_keys(gram, size)
-                ends = np.cumsum(size)
-                yield pd.DataFrame({"key1": a, "key2": b, "grams": [_short(gram[e - s : e]) for e, s in zip(ends, size)]})[size > 0]
-
-        found = materialise(self.docs.select("text", slot).mapInPandas(sets, "key1 long, key2 long, grams binary"))
-        sent = self._sent(placed, found)
+        sent = self._sent(placed, materialise(self._sets(materialise(keys))[1]))
 
         def verify(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
             by: dict[int, list[tuple[int, np.ndarray]]] = {}
@@ -501,57 +814,179 @@ class Join:
         schema = "a1 long, a2 long, b1 long, b2 long, jaccard double"
         return placed.groupBy("cell").cogroup(sent.groupBy("at")).applyInPandas(verify, schema)
 
+    def _within(self, pairs: bool) -> DataFrame:
+        """Of the groups: (a1, a2, b1, b2, jaccard) of all pairs of their sets, or else, with jaccard null, pairs that connect what is connected, and (a1, a2, links) of each set."""
+        least = self.least
+        blocks = F.col("blocks")
+        own = F.pmod(F.xxhash64("key1", "key2"), blocks)
+        sets = self.grouped.filter("label is not null").withColumn("own", own.cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        sets = sets.select("key1", "key2", "grams", "label", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), (F.col("own") > F.least("own", "k")).alias("right"))
+
+        def look(rows: list[tuple]) -> pd.DataFrame | None:
+            rows = sorted({(r[4], r[0], r[1]): r for r in rows}.items())
+            left = sum(not right for (right, _, _), _ in rows)
+            square = left == len(rows)
+            if len(rows) < 2 or not left or (not square and rows[0][1][5] == rows[0][1][6]):
+                return None
+            grams = [_long(r[2]) for _, r in rows]
+            size = np.array([len(g) for g in grams], dtype=np.float64)
+            x, y = size[:left], size if square else size[left:]
+            both = _matrix(grams, left)
+            value = both / (x[:, None] + y[None, :] - both)
+            if square:
+                np.fill_diagonal(value, -1)
+            hit = value >= least - 1e-12
+            k1, k2 = np.array([k[1] for k, _ in rows]), np.array([k[2] for k, _ in rows])
+            if pairs:
+                a, b = np.nonzero(np.triu(hit) if square else hit)
+                v = value[a, b]
+                b = b if square else b + left
+                return pd.DataFrame({"a1": k1[a], "a2": k2[a], "b1": k1[b], "b2": k2[b], "jaccard": v, "links": 0})
+            joins = np.array(_forest(hit, square), dtype=np.int64).reshape(-1, 2)
+            links = hit.sum(1) if square else np.concatenate([hit.sum(1), hit.sum(0)])
+            some = np.flatnonzero(links)
+            a, b = np.concatenate([joins[:, 0], some]), np.concatenate([joins[:, 1], np.full(len(some), -1)])
+            there = b >= 0
+            return pd.DataFrame({"a1": k1[a], "a2": k2[a], "b1": np.where(there, k1[b], 0), "b2": np.where(there, k2[b], 0), "jaccard": None, "links": np.concatenate([np.zeros(len(joins), dtype=np.int64), links[some]])})
+
+        @lean
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at, held, out = None, [], []
+            for pdf in batches:
+                for r in zip(pdf["key1"].tolist(), pdf["key2"].tolist(), pdf["grams"].tolist(), pdf["label"].tolist(), pdf["right"].tolist(), pdf["i"].tolist(), pdf["j"].tolist()):
+                    now = (r[3], r[5], r[6])
+                    if now != at:
+                        out.append(look(held))
+                        at, held = now, []
+                    held.append(r)
+                if out := [x for x in out if x is not None]:
+                    yield pd.concat(out)
+                    out = []
+            if (x := look(held)) is not None:
+                yield x
+
+        schema = "a1 long, a2 long, b1 long, b2 long, jaccard double, links long"
+        return sets.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInPandas(work, schema)
+
+    def pairs(self) -> DataFrame:
+        """(a1, a2, b1, b2, jaccard) of all pairs of different sets that are similar, by their hashes."""
+        return self.apart.unionByName(self._within(True).drop("links"))
+
     def rows(self) -> DataFrame:
         """(doc_a, doc_b, jaccard) of all pairs of documents with ids a < b, those with equal sets included."""
         ids = self.ids.filter("id is not null").select("id", "key1", "key2").distinct()
         a, b = ids.select(F.col("id").alias("ia"), F.col("key1").alias("a1"), F.col("key2").alias("a2")), ids.select(F.col("id").alias("ib"), F.col("key1").alias("b1"), F.col("key2").alias("b2"))
-        near = self.pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).filter("ia <> ib").select(F.least("ia", "ib").alias("doc_a"), F.greatest("ia", "ib").alias("doc_b"), "jaccard")
+        near = self.pairs().join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).filter("ia <> ib").select(F.least("ia", "ib").alias("doc_a"), F.greatest("ia", "ib").alias("doc_b"), "jaccard")
         equal = a.join(b, (F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2")) & (F.col("ia") < F.col("ib"))).select(F.col("ia").alias("doc_a"), F.col("ib").alias("doc_b"), F.lit(1.0).alias("jaccard"))
         every = near.unionByName(equal)
         # a pair comes twice only where an id has several sets
         repeated = ids.groupBy("id").count().filter("count > 1").limit(1).count()
         return every.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")) if repeated else every
 
-    def groups(self, rounds: int = 50) -> DataFrame:
-        """(id, first): each document with a partner and the least id of its group, the groups being connected by pairs.
-
-        Equal sets are one vertex, so a group of copies costs one row a copy. Labels go to the least neighbour's label
-        and then jump (pointer doubling), each round a written table; it ends when nothing changes.
-        """
-        ids = self.ids.filter("id is not null")
-        vertex = materialise(ids.groupBy("key1", "key2").agg(F.min("id").alias("v")))
-        edge = self.pairs.join(vertex.withColumnsRenamed({"key1": "a1", "key2": "a2", "v": "x"}), ["a1", "a2"]).join(vertex.withColumnsRenamed({"key1": "b1", "key2": "b2", "v": "y"}), ["b1", "b2"]).filter("x <> y").select("x", "y")
-        edge = materialise(edge.union(edge.select("y", "x")).distinct())
-        label = materialise(edge.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("v"), F.least("x", "m").alias("l")))
-        for _ in range(rounds):
-            near = edge.join(label.withColumnsRenamed({"v": "y", "l": "ly"}), "y").groupBy(F.col("x").alias("v")).agg(F.min("ly").alias("n"))
-            hooked = label.join(near, "v").select("v", "l", F.least("l", "n").alias("k"))
-            jumped = hooked.join(label.withColumnsRenamed({"v": "k", "l": "kl"}), "k", "left").select("v", F.least("k", F.coalesce("kl", "k")).alias("new"), F.col("l").alias("old"))
-            jumped = materialise(jumped)
-            moved = jumped.filter("new <> old").limit(1).count()
-            label = jumped.select("v", F.col("new").alias("l"))
-            if not moved:
-                break
-        else:
-            raise RuntimeError(f"groups didn't settle in {rounds} rounds")
-        every = vertex.join(label, "v", "left").select("key1", "key2", F.coalesce("l", "v").alias("first"))
-        return ids.join(every, ["key1", "key2"]).groupBy("id").agg(F.min("first").alias("first"))
+    def vertices(self) -> DataFrame:
+        """(key1, key2, name, class_id, copies, links) of every set: the name of what links connect it with, the least id in that, its documents, and the other sets it is similar to."""
+        within = materialise(self._within(False))
+        struct = lambda x: F.struct(F.col(f"{x}1").alias("k1"), F.col(f"{x}2").alias("k2"))
+        one = lambda x: self.apart.select(F.col(f"{x}1").alias("key1"), F.col(f"{x}2").alias("key2"), F.lit(1).cast("long").alias("links"))
+        links = within.filter("links > 0").select(F.col("a1").alias("key1"), F.col("a2").alias("key2"), "links").union(one("a")).union(one("b")).groupBy("key1", "key2").agg(F.sum("links").alias("links"))
+        edge = within.filter("links = 0").select(struct("a").alias("x"), struct("b").alias("y")).union(self.apart.select(struct("a"), struct("b")))
+        label = components(edge).select(F.col("v.k1").alias("key1"), F.col("v.k2").alias("key2"), "l")
+        every = self.ids.groupBy("key1", "key2").agg(F.min("id").alias("least"), F.count("*").alias("copies")).join(links, ["key1", "key2"], "left")
+        every = materialise(every.join(label, ["key1", "key2"], "left"))
+        named = every.filter("l is not null").groupBy("l").agg(F.min("least").alias("class_id"))
+        found = every.join(named, "l", "left")
+        name = F.coalesce("l", F.struct(F.col("key1").alias("k1"), F.col("key2").alias("k2"))).alias("name")
+        return materialise(found.select("key1", "key2", name, F.coalesce("class_id", "least").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links")))
+
+
+def _hooked(edge: DataFrame, label: DataFrame) -> DataFrame:
+    """(v, new, old): each vertex's label goes to its neighbours' least one and then jumps to that one's own."""
+    near = edge.join(label.withColumnsRenamed({"v": "y", "l": "ly"}), "y").groupBy(F.col("x").alias("v")).agg(F.min("ly").alias("n"))
+    hooked = label.join(near, "v").select("v", "l", F.least("l", "n").alias("k"))
+    return hooked.join(label.withColumnsRenamed({"v": "k", "l": "kl"}), "k", "left").select("v", F.least("k", F.coalesce("kl", "k")).alias("new"), F.col("l").alias("old"))
+
+
+def components(edge: DataFrame) -> DataFrame:
+    """(v, l): each vertex of edges (x, y) with the least vertex that edges connect it with.
+
+    Labels go to the least neighbour's label and then jump (pointer doubling), each round a written table, until nothing changes.
+    """
+    edge = materialise(edge.union(edge.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    label = materialise(edge.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("v"), F.least("x", "m").alias("l")))
+    while True:
+        jumped = materialise(_hooked(edge, label))
+        discard(label)
+        moved = jumped.filter("new <> old").limit(1).count()
+        label = jumped.select("v", F.col("new").alias("l"))
+        if not moved:
+            return label
+        label = materialise(label)
+        discard(jumped)
 
 
 def join(docs: DataFrame, **options) -> DataFrame:
-    """(doc_a, doc_b, jaccard): all pairs of documents whose n-gram sets have Jaccard of at least ``least``."""
+    """(doc_a, doc_b, jaccard): all pairs of documents whose n-gram sets have Jaccard of at least ``least``; as many rows as there are pairs."""
     return Join(docs, **options).rows()
 
 
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(key, class_id, copies, links), a row for every row of ``docs``.
+
+    ``links``: how many other sets have Jaccard of at least ``least`` with the document's; all are counted. ``class_id``: the least id of the
+    documents that links and equal sets connect it with, ``copies``: documents with its set, itself included. Without words the class is null and both are 0.
+    """
+    found = Join(docs, key=key, text=text, **options)
+    every = found.ids.join(found.vertices(), ["key1", "key2"]).select(F.col("id").alias(key), "class_id", "copies", "links")
+    none = found.none.select(F.col("id").alias(key), F.lit(None).cast(found.id_type).alias("class_id"), F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("links"))
+    return every.unionByName(none)
+
+
+def _keyed(docs: DataFrame, key: str, text: str, n: int) -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns, the hashes of each row's set (0 without one), and their names."""
+    one, two = fresh(docs, "__set1"), fresh(docs, "__set2")
+
+    @lean
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text).to_pylist()
+            a, b = [], []
+            for pdf in pieces(iter([pd.DataFrame({"t": texts})]), "t"):
+                gram, size = gram_sets(pdf["t"].tolist(), n)
+                x, y = set_keys(gram, size)
+                a.append(x)
+                b.append(y)
+            empty = [np.zeros(0, dtype=np.int64)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(a or empty)), pa.array(np.concatenate(b or empty))], [*batch.schema.names, one, two])
+
+    fields = [*docs.schema.fields, StructField(one, LongType()), StructField(two, LongType())]
+    return docs.mapInArrow(work, StructType(fields)), one, two
+
+
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, unchanged, without all but the first (by id) document of each group of near copies.
+    """The rows of ``docs``, unchanged, without all but the first of each group of near copies.
 
-    Rows that repeat an id are cut to one; rows without id, and those without words, stay.
+    The first is that of the least id, and of rows of one id with unlike sets that of the least hash; those of another group stay. Of rows
+    that repeat both id and set one stays, the least by text and then by the hash of all columns. Rows without id, and those without words, stay.
+    Only rows that share a bitmap's slot with one that is decided on are sent to the join.
     """
     found = Join(docs, key=key, text=text, **options)
-    drop = found.groups().filter("id <> first").select(F.col("id").alias(key))
-    kept = docs.join(drop, key, "left_anti")
-    if docs.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").limit(1).count():
-        once = kept.filter(F.col(key).isNotNull()).dropDuplicates([key])
-        kept = once.unionByName(kept.filter(F.col(key).isNull()))
-    return kept.select(docs.columns)
+    some = found.vertices().filter("copies > 1 or links > 0").select("key1", "key2", "name")
+    mine = found.ids.filter("id is not null").join(some, ["key1", "key2"]).groupBy("id", "key1", "key2").agg(F.first("name").alias("name"), F.count("*").alias("n"))
+    mine = materialise(mine)
+    first = mine.groupBy("name").agg(F.min(F.struct("id", "key1", "key2")).alias("f"))
+    told = materialise(mine.join(first, "name").withColumn("go", F.col("f") != F.struct("id", "key1", "key2")).filter("go or n > 1").select(F.col("id").alias("__i"), F.col("key1").alias("__a"), F.col("key2").alias("__b"), F.col("go").alias("__g")))
+    slot = F.pmod(F.xxhash64("__i"), F.lit(SLOTS)).cast("int").alias("slot")
+    packed = slots(told.select(slot), SLOTS)
+    marked = in_slots(packed)(F.pmod(F.xxhash64(key), F.lit(SLOTS)))
+    clear = docs.filter(~marked)
+    keyed, one, two = _keyed(docs.filter(marked), key, text, found.n)
+    at = (keyed[key] == told["__i"]) & (keyed[one] == told["__a"]) & (keyed[two] == told["__b"])
+    kept = keyed.join(told.filter("__g"), at, "left_anti")
+    again = told.filter("not __g")
+    if again.limit(1).count():
+        at = (kept[key] == again["__i"]) & (kept[one] == again["__a"]) & (kept[two] == again["__b"])
+        rank = fresh(kept, "__rank")
+        order = Window.partitionBy(key, one, two).orderBy(F.col(text), F.xxhash64(*docs.columns))
+        once = kept.join(again, at, "left_semi").withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(rank)
+        kept = kept.join(again, at, "left_anti").unionByName(once)
+    return clear.unionByName(kept.select(docs.columns))

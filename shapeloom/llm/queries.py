@@ -36,7 +36,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(_docs(spark, sf_dir), least=jaccard.NEAR)
+    return jaccard.classes(_docs(spark, sf_dir), least=jaccard.NEAR)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

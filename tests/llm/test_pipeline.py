@@ -49,8 +49,8 @@ def test_copies_with_a_tenth_of_the_words_edited(spark, tmp_path):
     other = [f"w{rng.randrange(5000)}" for _ in range(300)]
     docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate([text, swapped, dropped, other])], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    pairs = {(r["doc_a"], r["doc_b"]) for r in entry.queries()["op5_ngram_jaccard_join"](spark, str(tmp_path)).collect()}
-    assert {(0, 1), (0, 2)} <= pairs and not any(3 in p for p in pairs)
+    found = {r["doc_id"]: r for r in entry.queries()["op5_ngram_jaccard_join"](spark, str(tmp_path)).collect()}
+    assert [found[i]["class_id"] for i in range(4)] == [0, 0, 0, 3] and found[0]["links"] >= 2 and found[3]["links"] == 0 and all(r["copies"] == 1 for r in found.values())
     assert {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, str(tmp_path)).collect()} == {0, 3}
 
 
