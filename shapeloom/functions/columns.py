@@ -74,6 +74,17 @@ def index_pattern(index: str | Column) -> Column:
     return F.coalesce(F.array_join(F.array_sort(F.array_distinct(names)), ","), F.lit(""))
 
 
+def digest_names(df: DataFrame, *names: str) -> dict[str, str]:
+    """Names for columns of our own that no column of ``df`` has."""
+    taken, found = {c.lower() for c in df.columns}, {}
+    for name in names:
+        own = f"__{name}"
+        while own in taken:
+            own += "_"
+        found[name] = own
+    return found
+
+
 def line(request: str | Column, index: str | Column | None = None, options: Options = Options(), with_rules: bool = False) -> Column:
     """struct<idx, q, sig, full, notes, error[, rules]>: the lines without caps of length. ``error``: why there are none."""
     returns = LINE[:-1] + f",rules:{RULES}>" if with_rules else LINE
@@ -98,22 +109,25 @@ def with_digest(df: DataFrame, request: str = "request", index: str | None = Non
         fields = [c["idx"].alias("idx"), capped(c["q"], options.max_length).alias("q"), capped(c["sig"], options.max_length).alias("sig"), fingerprint(c["full"], options).alias("hash"), c["notes"].alias("notes"), c["error"].alias("error")]
         return F.struct(*fields, *([c["rules"].alias("rules")] if with_rules else []))
 
+    new = digest_names(df, "line", "request", "index", "hash")
     if not dedupe:
-        read = df.withColumn("__line", line(F.col(request), place, options, with_rules))
-        return read.withColumn(to, shown(read, "__line")).drop("__line")
-    once = df.select(F.col(request).alias("__request"), place.alias("__index")).distinct()
-    once = once.withColumn("__line", line("__request", "__index", options, with_rules))
-    once = once.select("__request", "__index", shown(once, "__line").alias(to))
-    left = df.drop(to) if to in df.columns else df
-    met = left[request].eqNullSafe(once["__request"]) & (left[index] if index else F.lit(None).cast("string")).eqNullSafe(once["__index"])
-    return left.join(once, met, "left").drop("__request", "__index")
+        read = df.withColumn(new["line"], line(F.col(request), place, options, with_rules))
+        return read.withColumn(to, shown(read, new["line"])).drop(new["line"])
+    # joined by a hash of 128 bits: no text is a key, and a body that half of the rows have is one row of the other side
+    hashed = F.struct(F.xxhash64(F.col(request), place), F.xxhash64(F.lit(1), place, F.col(request)), F.col(request).isNull(), place.isNull())
+    once = df.select(hashed.alias(new["hash"]), F.col(request).alias(new["request"]), place.alias(new["index"])).dropDuplicates([new["hash"]])
+    once = once.withColumn(new["line"], line(new["request"], new["index"], options, with_rules))
+    once = once.select(new["hash"], shown(once, new["line"]).alias(to))
+    left = (df.drop(to) if to in df.columns and to not in (request, index) else df).withColumn(new["hash"], hashed)
+    return left.join(once, new["hash"], "left").drop(new["hash"]).select(*[c for c in df.columns if c != to], to)
 
 
 def digests(df: DataFrame, request: str = "request", index: str | None = None, options: Options = Options(), with_rules: bool = False, strict: bool = False) -> DataFrame:
-    """``df`` with columns idx, q, sig, hash, notes, error. ``strict`` fails the query on what is no request."""
-    out = with_digest(df, request, index, options, "__digest", with_rules)
+    """``df`` with columns idx, q, sig, hash, notes, error, in place of columns of those names. ``strict`` fails the query on what is no request."""
+    at = digest_names(df, "digest")["digest"]
+    out = with_digest(df, request, index, options, at, with_rules)
     names = ["idx", "q", "sig", "hash", "notes", "error", *(["rules"] if with_rules else [])]
-    out = out.select("*", *(F.col(f"__digest.{n}").alias(n) for n in names)).drop("__digest")
+    out = out.select(*(c for c in df.columns if c.lower() not in names), *(F.col(f"{at}.{n}").alias(n) for n in names))
     if strict:
         out = out.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("string")))
     return out

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import digest_names
 from ..functions.jsoncompat import TRIM, Undecodable, composite, decode, get, text, texts
 
 SEARCH = "array<struct<index:string,body:string,position:int>>"
@@ -64,11 +65,13 @@ def searches(method: str | Column, path: str | Column, body: str | Column, base:
 
 
 def observed(exchanges: DataFrame, base: str = "", method: str = "method", path: str = "path", body: str = "request_body", response: str = "response_head") -> DataFrame:
-    """A row a search: the exchange's columns, with index, body, position and took (ms; of single searches alone).
+    """A row a search: the exchange's columns, with (in place of columns of those names) index, body, position and took (ms; of single searches alone).
 
     ``took`` is read from the first bytes of the response, which isn't decoded. A failed exchange has null status and took.
     """
     head = F.regexp_extract(F.substring(F.col(response), 1, PEEK), r'^\s*[{]\s*"took"\s*:\s*([0-9]+)', 1)
-    found = exchanges.withColumn("__s", F.explode(searches(method, path, body, base)))
-    took = F.when(F.col("__s.position").isNull() & (head != ""), head.cast("long"))
-    return found.select(*exchanges.columns, "__s.index", "__s.body", "__s.position", took.alias("took")).drop(body, response)
+    s = digest_names(exchanges, "search")["search"]
+    found = exchanges.withColumn(s, F.explode(searches(method, path, body, base)))
+    took = F.when(F.col(f"{s}.position").isNull() & (head != ""), head.cast("long"))
+    kept = [c for c in exchanges.columns if c.lower() not in ("index", "body", "position", "took") and c not in (body, response)]
+    return found.select(*kept, f"{s}.index", f"{s}.body", f"{s}.position", took.alias("took"))

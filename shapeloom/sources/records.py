@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import with_digest
+from ..functions.columns import digest_names, with_digest
 from ..options import Options
 
 
@@ -15,8 +15,9 @@ def rewrite(records: DataFrame, request: str = "query", index: str = "index", op
     Other columns are untouched; without an index column the request's own is taken.
     """
     own = index if index in records.columns else None
-    read = with_digest(records, request, own, options, "__digest")
-    d = F.col("__digest")
+    at = digest_names(records, "digest")["digest"]
+    read = with_digest(records, request, own, options, at)
+    d = F.col(at)
     shown = F.when(d["error"].isNotNull(), F.to_json(F.struct(d["error"].alias("error")))).otherwise(F.to_json(F.struct(d["idx"].alias("idx"), d["q"].alias("q"), d["sig"].alias("sig"), d["hash"].alias("hash"), d["notes"].alias("notes"))))
     return read.withColumn(request, F.when(F.col(request).isNotNull(), shown)).select(records.columns)
 

@@ -34,8 +34,9 @@ def test_columns_equal_plain_python(spark):
             assert row["hash"] is None and row["request"] in ("{", None)
     once = with_digest(df, "request", "index", dedupe=True).selectExpr("request", "digest.hash")
     assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, with_digest(df, "request", "index").selectExpr("request", "digest.hash").collect()), key=str)
-    with pytest.raises(Exception, match="decoded"):
-        digests(df, "request", "index", strict=True).collect()
+    for bad, message in (("{", "decoded"), (None, "null")):
+        with pytest.raises(Exception, match=message):
+            digests(spark.createDataFrame([(bad, "x"), ("{}", None)], "request string, index string"), "request", "index", strict=True).collect()
 
 
 def test_one_evaluation_and_none_when_unused(spark):
