@@ -130,11 +130,11 @@ def minima(gram: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(gram: np.ndarray, size: np.ndarray) -> list[bytes]:
-    """Of each set, the parities of its grams' counts in 2**k >= size buckets (8 at least), as packed bits.
+    """Of each set, the parities of its grams' counts in 2**k >= 2 * size buckets (8 at least), as packed bits.
 
     Two sets' parities differ in no more places than the sets do in grams; a longer sketch folds to a shorter one.
     """
-    wide = np.maximum(8, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    wide = np.maximum(8, 2 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
     base = np.cumsum(wide) - wide
     of = np.repeat(np.arange(len(size)), size)
     place = base[of] + (gram.astype(np.int64) & (wide[of] - 1))
@@ -457,7 +457,7 @@ class _Sketches:
 
     def __init__(self, blobs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], groups: int):
         key, size, bits = (np.concatenate(x) for x in zip(*blobs)) if blobs else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint8))
-        wide = np.maximum(8, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)) >> 3
+        wide = np.maximum(8, 2 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)) >> 3
         first = np.cumsum(wide) - wide
         code = self._code(_group(key, groups), key)
         order = np.argsort(code, kind="stable")
