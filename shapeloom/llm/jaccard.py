@@ -25,7 +25,7 @@ passed on only where they aren't of one group. A group of any size is work for a
 Meeting pairs whose sketches (parities of bucket counts) differ in more places than the sets may are no
 candidates; that is exact, too. The others are verified on the sets. Equal sets are joined by their 128-bit hash, not by the index.
 
-Signatures travel packed, four bytes each, in blobs by task that name each document once.
+Signatures travel packed, 28 bits each, in blobs by task that name each document once.
 
 Defined cases: a null or empty text, or one without words, has no set, no class and no links; very long texts are read whole;
 ties don't arise, the result is exact; an empty table gives an empty result; other columns don't take part. Rows that repeat an
@@ -49,6 +49,8 @@ from .common import blob_rows, collect_blobs, discard, fresh, in_slots, joined,
 
 #: Bits of a gram's hash; the rest of a word holds the document's place in a batch, of which there are 2**16 at most.
 GRAM_BITS = 48
+#: Bits of a signature beside its task.
+SIG_BITS = 28
 DF_BITS = 18
 #: The Jaccard of near copies in production: bigram sets of copies with a tenth of the words edited share two thirds and more,
 #: and the distribution over the documents has its gap at 0.55 to 0.6.
@@ -261,10 +263,24 @@ def signatures(gram: np.ndarray, size: np.ndarray, bands: Bands, logdf: np.ndarr
     return np.concatenate(out_sig), np.concatenate(out_doc), np.concatenate(out_role)
 
 
+def _halves(low: np.ndarray) -> bytes:
+    """28-bit numbers, two in seven bytes."""
+    two = np.zeros(len(low) + (len(low) & 1), dtype="<u8")
+    two[: len(low)] = low
+    return (two[::2] | (two[1::2] << np.uint64(28))).view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def _wholes(data: bytes, n: int) -> np.ndarray:
+    both = np.zeros((len(data) // 7, 8), dtype=np.uint8)
+    both[:, :7] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 7)
+    both = both.view("<u8").ravel()
+    return np.stack([both & np.uint64((1 << 28) - 1), both >> np.uint64(28)], 1).ravel()[:n].astype(np.uint32)
+
+
 def _packed(task: np.ndarray, low: np.ndarray, doc: np.ndarray, flag: np.ndarray, keys: np.ndarray, labels: np.ndarray, sizes: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Rows (task, keys, labels, sizes, counts, body): of each task, its documents' keys, groups (none if no document has one) and sizes, how many entries of each kind each has, and 4 bytes an entry.
+    """Rows (task, keys, labels, sizes, counts, body): of each task, its documents' keys, groups (none if no document has one) and sizes, how many entries of each kind each has, and 3.5 bytes an entry.
 
-    A signature keeps 32 bits beside its task: what meets by chance is sorted out when it is verified.
+    A signature keeps 28 bits beside its task: what meets by chance is sorted out when it is verified.
     """
     kind = np.zeros(16, dtype=np.uint64)
     kind[KINDS] = np.arange(len(KINDS), dtype=np.uint64)
@@ -280,7 +296,7 @@ def _packed(task: np.ndarray, low: np.ndarray, doc: np.ndarray, flag: np.ndarray
     rows = []
     for i, j in zip(cut[:-1], cut[1:]):
         at, n = own[i:j], counts[i:j]
-        rows.append((int(task[i]), keys[at].tobytes(), labels[at].tobytes() if labels[at].any() else b"", sizes[at].astype("<u4").tobytes(), (n.astype("<u2") if n.max() < 1 << 16 else n).tobytes(), low[first[i] : first[j]].astype("<u4").tobytes()))
+        rows.append((int(task[i]), keys[at].tobytes(), labels[at].tobytes() if labels[at].any() else b"", sizes[at].astype("<u4").tobytes(), (n.astype("<u2") if n.max() < 1 << 16 else n).tobytes(), _halves(low[first[i] : first[j]])))
     for at in range(0, len(rows), 50):
         yield pd.DataFrame(rows[at : at + 50], columns=["task", "keys", "labels", "sizes", "counts", "body"])
 
@@ -301,7 +317,7 @@ def _index(batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], bands:
             known.add(k)
         gram, size, key, label = gram[np.repeat(fresh, size)], size[fresh], key[fresh], label[fresh]
         sig, doc, role = signatures(gram, size, bands, logdf)
-        held.append(((sig >> np.uint64(32)).astype(np.int64) % tasks, (sig & np.uint64(0xFFFFFFFF)).astype(np.uint32), (doc + docs).astype(np.int32), role))
+        held.append(((sig >> np.uint64(32)).astype(np.int64) % tasks, (sig & np.uint64((1 << SIG_BITS) - 1)).astype(np.uint32), (doc + docs).astype(np.int32), role))
         names.append((key, label, size))
         have, docs = have + len(sig), docs + len(size)
         if have > ENTRIES:
@@ -515,7 +531,7 @@ class Join:
         #: documents of each bucket of grams, over all documents, and their number
         self.df, self.n_docs = counted[:-1], int(counted[-1])
         self.grouped = self._grouped(self._loose(some.select("key1", "low", "bands")))
-        self.groups = max(1, min(math.ceil(self.n_docs / 65_536), max(8, math.ceil(self.n_docs / 524_288))))
+        self.groups = max(1, min(math.ceil(self.n_docs / 131_072), max(8, math.ceil(self.n_docs / 524_288))))
         near = materialise(self._near(self._candidates()))
         #: pairs of sets that aren't of one group
         self.apart = materialise(self._verified(materialise(self._placed(near))))
@@ -663,7 +679,8 @@ class Join:
 
         @lean
         def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            keys, labels, sizes, low, doc, flag, docs = [], [], [], [], [], [], 0
+            keys, labels, sizes, docs = [], [], [], 0
+            held: list[list[np.ndarray]] = [[] for _ in range(TOGETHER)]
             for pdf in batches:
                 for k, g, z, c, body in zip(pdf["keys"], pdf["labels"], pdf["sizes"], pdf["counts"], pdf["body"]):
                     m = len(k) // 8
@@ -671,21 +688,23 @@ class Join:
                     keys.append(np.frombuffer(k, dtype=np.int64))
                     labels.append(np.frombuffer(g, dtype=np.int64) if g else np.zeros(m, dtype=np.int64))
                     sizes.append(np.frombuffer(z, dtype="<u4"))
-                    low.append(np.frombuffer(body, dtype="<u4"))
-                    doc.append(np.repeat(np.arange(docs, docs + m, dtype=np.int32), count.reshape(-1, len(KINDS)).sum(1)))
-                    flag.append(np.repeat(np.tile(KINDS, m), count))
+                    low = _wholes(body, int(count.sum()))
+                    mine = np.repeat((np.arange(docs, docs + m, dtype=np.uint64)[:, None] << np.uint64(4) | KINDS).ravel(), count) | (low.astype(np.uint64) << np.uint64(28))
+                    part = low % np.uint32(TOGETHER)
+                    for i in range(TOGETHER):
+                        held[i].append(mine[part == i])
                     docs += m
             if not keys:
                 return
             # a set has one place, however many blobs name it
             key, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
             label = np.zeros(len(key), dtype=np.int64)
-            np.maximum.at(label, place, np.concatenate(labels))
-            low, flag, size = np.concatenate(low), np.concatenate(flag), np.concatenate(sizes)[first].astype(np.int64)
-            doc = place.astype(np.int32)[np.concatenate(doc)]
-            del keys, labels, sizes, place
+            known = np.concatenate(labels)
+            some = np.flatnonzero(known)
+            label[place[some]] = known[some]
+            size, place = np.concatenate(sizes)[first].astype(np.int64), place.astype(np.uint64)
+            del keys, labels, sizes, first
             group, short = _group(key, groups), (key & 0xFFFFFFFF).astype(np.uint32)
-            parts = -(-len(low) // ENTRIES)
 
             def told(pairs: np.ndarray) -> Iterator[pd.DataFrame]:
                 a, b = pairs >> 32, pairs & 0xFFFFFFFF
@@ -700,9 +719,10 @@ class Join:
                     yield pd.DataFrame(rows[at : at + 20], columns=["cell", "kind", "keys", "sizes", "sketch"])
 
             known, have = [np.zeros(0, dtype=np.int64)], 0
-            for part in range(parts):
-                some = np.flatnonzero(low % np.uint32(parts) == part)
-                entries = (low[some].astype(np.uint64) << np.uint64(28)) | (doc[some].astype(np.uint64) << np.uint64(4)) | flag[some]
+            while held:
+                entries = np.concatenate(held.pop())
+                doc = place[((entries >> np.uint64(4)) & np.uint64(0xFFFFFF)).astype(np.int64)]
+                entries = (entries & np.uint64(0xFFFFFFFFF000000F)) | (doc << np.uint64(4))
                 for pairs in meetings(entries, label, size, least):
                     known.append(pairs)
                     have += len(pairs)
@@ -717,7 +737,7 @@ class Join:
         schema = "task int, keys binary, labels binary, sizes binary, counts binary, body binary"
         slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int").alias("slot")
         blobs = self.docs.select("text", slot).mapInPandas(texts, schema).unionByName(self.grouped.select("grams", "size", "label").mapInPandas(sets, schema))
-        return blobs.repartition(tasks, "task").mapInPandas(meet, PAIR_ROWS)
+        return blobs.repartitionById(tasks, "task").mapInPandas(meet, PAIR_ROWS)
 
     def _near(self, met: DataFrame) -> DataFrame:
         """(a, b): the pairs that met whose sketches don't tell that they differ in too much. No similar pair is lost.
@@ -758,7 +778,9 @@ class Join:
         told = self.sketches.dropDuplicates(["key1", "key2"]).select("key1", "size", "sketch").mapInPandas(blobs, "g int, keys binary, sizes binary, sketch binary")
         told = told.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select((F.least("g", "k") * groups + F.greatest("g", "k")).cast("int").alias("cell"), F.lit(0).alias("kind"), "keys", "sizes", "sketch")
         cells = told.unionByName(met)
-        near = cells.repartition(max(groups * (groups + 1) // 2, 1), "cell").sortWithinPartitions("cell", "kind").mapInPandas(work, "a long, b long")
+        g, h = F.floor(F.col("cell") / groups).cast("int"), F.col("cell") % groups
+        place = (g * groups - F.floor(g * (g - 1) / 2) + h - g).cast("int")  # cells in order, from 0 without a gap
+        near = cells.repartitionById(groups * (groups + 1) // 2, place).sortWithinPartitions("cell", "kind").mapInPandas(work, "a long, b long")
         # sets whose first hashes are equal and second ones not: too rare to see, but theirs is the right to be verified
         same = self.ids.groupBy("key1").agg(F.min("key2").alias("lo"), F.max("key2").alias("hi")).filter("lo <> hi").select(F.col("key1").alias("a"), F.col("key1").alias("b"))
         return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(same).distinct()
