@@ -8,9 +8,9 @@ lead to, and among the block itself, keeps those that no kept one is closer to t
 them; lists that overflow are cut by the same rule. Searches are those of the usual algorithm, for a block of queries at once
 in numpy.
 
-Every row is a query, and searches every shard: a block of queries meets a shard's graph in one task, so a task's memory
-is one shard and one block. The best of each shard are merged exactly by (distance, key). The work is rows x shards: set
-``shard_rows`` to what a task can hold.
+Every row is a query, or every row of a stated set, and searches every shard: a shard's graph and, after it, the queries in blocks go
+to one task, whose memory is one graph and one block. Graphs are sent once, queries once a shard, results as k a query and shard. The best of
+each shard are merged exactly by (distance, key). The work is queries x shards: set ``shard_rows`` to what a task can hold.
 
 Defined cases: a null, empty or zero vector, one with a null or a value that isn't finite, or of another length than most has
 no neighbours and is none; rows with a null key are left out; a repeated key counts once for each row that differs, and
@@ -21,14 +21,14 @@ others give fewer rows; an empty table gives an empty result; other columns don'
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix
+from .common import lean, materialise, mix
 
 #: Queries of one numpy pass.
 BLOCK = 1024
@@ -239,32 +239,47 @@ class Search:
             graph, place = Graph.build(one, draw, m, build_beam)
             count = np.diff(first)[place]
             keys = [ids[by[first[p] : first[p + 1]]] for p in place]
-            return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "keys": [np.concatenate(keys)], "count": [count.astype(np.int32).tobytes()], "vec": [graph.vec.tobytes()], "sizes": [[len(x) for x in graph.links]], "links": [[x.tobytes() for x in graph.links]]})
+            return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "keys": [np.concatenate(keys)], "many": [count.astype(np.int32).tobytes()], "vec": [graph.vec.tobytes()], "sizes": [[len(x) for x in graph.links]], "links": [[x.tobytes() for x in graph.links]]})
 
         sharded = self.rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(self.shards)).cast("int"))
-        built = sharded.groupBy("shard").applyInPandas(build, f"shard int, keys array<{self.id_type}>, count binary, vec binary, sizes array<int>, links array<binary>")
+        built = sharded.groupBy("shard").applyInPandas(build, f"shard int, keys array<{self.id_type}>, many binary, vec binary, sizes array<int>, links array<binary>")
         #: one row a shard
         self.graphs = materialise(built)
 
-    def neighbours(self, k: int = 10, beam: int = 96, block_rows: int = 8192) -> DataFrame:
-        """(id, rank, neighbour, distance): the k nearest others of every row."""
-        blocks = max(1, math.ceil(self.n / block_rows))
-        cell = lambda s, b: (s.cast("long") * blocks + b).alias("cell")
-        block = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks))
-        queries = self.rows.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(self.shards - 1))).alias("s"), block.alias("b")).select("id", "v", cell(F.col("s"), F.col("b")))
-        graphs = self.graphs.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("cell", cell(F.col("shard"), F.col("b"))).drop("b", "shard")
-        dim = self.dim
-
-        def look(queries: pd.DataFrame, graphs: pd.DataFrame) -> pd.DataFrame:
-            if not len(queries) or not len(graphs):
-                return pd.DataFrame({"id": [], "ns": [], "ds": []})
-            g = graphs.iloc[0]
-            count = np.frombuffer(g["count"], dtype=np.int32).astype(np.int64)
-            start = np.cumsum(count) - count
-            keys = np.asarray(g["keys"])
-            links = [np.frombuffer(x, dtype=np.int32).reshape(n, -1) for x, n in zip(g["links"], g["sizes"])]
-            graph = Graph(np.frombuffer(g["vec"], dtype=np.float32).reshape(-1, dim), links)
-            ids, vec = queries["id"].to_numpy(), _units(queries["v"], dim)
+    def neighbours(self, k: int = 10, beam: int = 96, of: Callable[[Column], Column] | None = None, block_rows: int = 8192) -> DataFrame:
+        """(id, rank, neighbour, distance): the k nearest others of every row, or of those whose id passes ``of``.
+
+        Queries go to each shard in blocks, a row a block; a shard's graph is sent once, ahead of them.
+        """
+        t, dim = self.id_type, self.dim
+        asked = self.rows if of is None else self.rows.filter(of(F.col("id")))
+
+        @lean
+        def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for at in range(0, len(pdf), block_rows):
+                    part = pdf.iloc[at : at + block_rows]
+                    yield pd.DataFrame({"ids": [part["id"].to_numpy()], "q": [_units(part["v"], dim).tobytes()]})
+
+        queries = asked.mapInPandas(blocks, f"ids array<{t}>, q binary").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(self.shards - 1))))
+        parts = {"ids": f"array<{t}>", "q": "binary", "keys": f"array<{t}>", "many": "binary", "vec": "binary", "sizes": "array<int>", "links": "array<binary>"}
+        row = lambda kind, there: ["shard", F.lit(kind).alias("kind"), *(F.col(c) if c in there else F.lit(None).cast(x).alias(c) for c, x in parts.items())]
+        both = self.graphs.select(row(0, self.graphs.columns)).unionByName(queries.select(row(1, queries.columns)))
+
+        @lean
+        def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            graph = None
+            for pdf in batches:
+                for g in pdf.itertuples():
+                    if g.kind == 0:
+                        links = [np.frombuffer(x, dtype=np.int32).reshape(n, -1) for x, n in zip(g.links, g.sizes)]
+                        graph, keys = Graph(np.frombuffer(g.vec, dtype=np.float32).reshape(-1, dim), links), np.asarray(g.keys)
+                        count = np.frombuffer(g.many, dtype=np.int32).astype(np.int64)
+                        start, shard = np.cumsum(count) - count, g.shard
+                    elif graph is not None and shard == g.shard:
+                        yield answers(graph, keys, count, start, np.asarray(g.ids), np.frombuffer(g.q, dtype=np.float32).reshape(-1, dim))
+
+        def answers(graph: Graph, keys: np.ndarray, count: np.ndarray, start: np.ndarray, ids: np.ndarray, vec: np.ndarray) -> pd.DataFrame:
             out_n, out_d = [], []
             for a, dist, node in graph.search(vec, max(beam, k + 1)):
                 for i in range(len(node)):
@@ -285,14 +300,13 @@ class Search:
                     out_d.append([x for x, _ in best])
             return pd.DataFrame({"id": ids, "ns": out_n, "ds": out_d})
 
-        t = self.id_type
-        found = queries.groupBy("cell").cogroup(graphs.groupBy("cell")).applyInPandas(look, f"id {t}, ns array<{t}>, ds array<double>")
+        found = both.repartitionById(self.shards, "shard").sortWithinPartitions("shard", "kind").mapInPandas(look, f"id {t}, ns array<{t}>, ds array<double>")
         # k a shard and row: the merge sends nothing else
         pair = F.arrays_zip(F.col("ds").alias("d"), F.col("ns").alias("n"))
         merged = found.select("id", pair.alias("p")).groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("p")))), 1, k).alias("best"))
         return merged.select("id", F.posexplode("best").alias("rank", "p")).select("id", (F.col("rank") + 1).alias("rank"), F.col("p.n").alias("neighbour"), F.col("p.d").alias("distance"))
 
 
-def neighbours(rows: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", beam: int = 96, **options) -> DataFrame:
-    """(key, rank, neighbour, distance) of the k nearest others of every row by cosine distance."""
-    return Search(rows, key, vector, **options).neighbours(k, beam).withColumnRenamed("id", key)
+def neighbours(rows: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", beam: int = 96, of: Callable[[Column], Column] | None = None, **options) -> DataFrame:
+    """(key, rank, neighbour, distance) of the k nearest others by cosine distance, of every row or of those whose key passes ``of``."""
+    return Search(rows, key, vector, **options).neighbours(k, beam, of).withColumnRenamed("id", key)

@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Folder of vocabulary files; a parameter of every function here.
+from .common import fresh
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that belongs to it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -216,8 +218,9 @@ def encode(docs: DataFrame, text: str = "text", to: str = "tokens", count: str =
     once = long.select(F.col(text).alias("t")).distinct()
     rows = once.mapInPandas(cut, "h string, k long, piece long, data binary").repartition("h", "k")
     joined = rows.mapInPandas(leaves, "h string, k long, piece long, tokens binary").groupBy("h").applyInPandas(whole, "h string, tokens array<int>")
-    joined = joined.select(F.col("h").alias("__h"), F.col("tokens").alias("__tokens"))
-    long = long.withColumn("__key", F.sha2(F.col(text), 256)).join(joined, F.col("__key") == F.col("__h")).select(*names, F.col("__tokens").alias(to), F.size("__tokens").alias(count))
+    h, own, found = fresh(base, "__h"), fresh(base, "__key"), fresh(base, "__tokens")
+    joined = joined.select(F.col("h").alias(h), F.col("tokens").alias(found))
+    long = long.withColumn(own, F.sha2(F.col(text), 256)).join(joined, F.col(own) == F.col(h)).select(*names, F.col(found).alias(to), F.size(found).alias(count))
     return done.unionByName(long)
 
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, mix, pieces, runs, table, word_hashes
+from .common import joined, lean, mix, pieces, runs, table, word_hashes
 
 BITS = 15
 DIM = 16
@@ -184,10 +184,15 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 6, batch: int = 64,
 
     Vectors are learned for the features that stand out by ``least`` standard errors under either label.
     """
+    return fit_bags(_all_bags(texts), labels, rounds, batch, rate, decay, seed, least)
+
+
+def fit_bags(found: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], labels: np.ndarray, rounds: int = 6, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 5, least: float = 4.0) -> Network:
+    """``fit`` on what ``bags`` gives of the texts."""
     net = Network(seed)
-    bucket, passage, size, n = _all_bags(texts)
+    bucket, passage, size, n = found
     keep = np.flatnonzero(n)
-    weight = np.ones((len(texts), HEADS))
+    weight = np.ones((len(n), HEADS))
     for k in range(HEADS):
         ones, zeros = (labels[keep, k] == 1).sum(), (labels[keep, k] == 0).sum()
         if not ones or not zeros:
@@ -197,7 +202,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 6, batch: int = 64,
             weight[:, k] = np.where(labels[:, k] == 1, (ones + zeros) / (2 * ones), (ones + zeros) / (2 * zeros))
     if len(net.fixed) == HEADS:
         return net
-    net.used = _telling(bucket, np.repeat(np.arange(len(texts)), n)[passage], labels, keep, least)
+    net.used = _telling(bucket, np.repeat(np.arange(len(n)), n)[passage], labels, keep, least)
     order = np.argsort(passage, kind="stable")
     bucket, passage = bucket[order], passage[order]
     stop = np.cumsum(n)
@@ -225,8 +230,8 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 6, batch: int = 64,
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", toxic: str = "toxic", per_class: int = 1500, chars: int = 20_000, **options) -> Network:
-    """A network from a bounded sample: of each pair of labels, in expectation ``per_class`` documents of up to ``chars`` characters.
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", toxic: str = "toxic", per_class: int = 1500, **options) -> Network:
+    """A network from a bounded sample: of each pair of labels, in expectation ``per_class`` documents, with their whole texts.
 
     The sample is drawn by a hash of the key, so it doesn't depend on how the table is laid out. Its keys and labels are
     broadcast: at most nine pairs of labels, so about 9 * ``per_class`` rows.
@@ -237,14 +242,32 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         share = int(min(1.0, per_class / r["count"]) * (1 << 30))
         keep = keep | (F.col("__q").eqNullSafe(F.lit(r["__q"])) & F.col("__t").eqNullSafe(F.lit(r["__t"])) & (F.pmod(F.xxhash64("__key"), F.lit(1 << 30)) < share))
     sample = known.filter(keep)
-    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).filter(F.length("__text").between(1, chars)).join(F.broadcast(sample), "__key").select(F.xxhash64("__key", "__text").alias("o"), "__text", "__q", "__t").toPandas()
-    rows = rows.sort_values(["o", "__q", "__t"], kind="stable")
-    return fit(rows["__text"].tolist(), rows[["__q", "__t"]].to_numpy(dtype=np.float64).reshape(-1, 2), **options)
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).filter(F.length("__text") > 0).join(F.broadcast(sample), "__key").select(F.xxhash64("__key", "__text").alias("o"), "__text", "__q", "__t")
+
+    @lean
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pieces(batches, "__text"):
+            bucket, passage, size, n = bags(pdf["__text"].tolist())
+            order = np.argsort(passage, kind="stable")
+            bucket, passage = bucket[order], passage[order]
+            stop = np.cumsum(n)
+            token = np.searchsorted(passage, np.concatenate([[0], stop]))
+            own = [(bucket[token[i] : token[i + 1]].astype("<u2" if FEATURES <= 1 << 16 else "<i4").tobytes(), np.diff(np.searchsorted(passage, np.arange(e - k, e + 1))).astype("<i4").tobytes(), size[e - k : e].astype("u1").tobytes()) for i, (e, k) in enumerate(zip(stop.tolist(), n.tolist()))]
+            yield pd.DataFrame({"o": pdf["o"].to_numpy(), "q": pdf["__q"].to_numpy(), "t": pdf["__t"].to_numpy(), "bucket": [x[0] for x in own], "many": [x[1] for x in own], "size": [x[2] for x in own]})
+
+    # the features are worked out where the texts are: the driver gets those alone, of as many rows as the sample has
+    told = rows.mapInPandas(read, "o long, q double, t double, bucket binary, many binary, size binary").toPandas().sort_values(["o", "q", "t"], kind="stable")
+    n = np.array([len(x) for x in told["size"]], dtype=np.int64)
+    join = lambda c, kind: np.frombuffer(b"".join(told[c]), dtype=kind)
+    many = join("many", "<i4")
+    found = join("bucket", "<u2" if FEATURES <= 1 << 16 else "<i4").astype(np.int32), np.repeat(np.arange(len(many), dtype=np.int32), many), join("size", "u1").astype(np.int64), n
+    return fit_bags(found, told[["q", "t"]].to_numpy(dtype=np.float64).reshape(-1, 2), **options)
 
 
 def score(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text", least_quality: float = 0.5, most_toxic: float = 0.5) -> DataFrame:
     """(key, quality, toxic, keep) of every document. One pass, no shuffle."""
 
+    @lean
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pieces(batches, "__text"):
             p = net.scores(pdf["__text"].tolist())

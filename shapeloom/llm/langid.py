@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import joined, pieces, runs, table, viterbi
+from .common import joined, lean, pieces, runs, table, viterbi
 
 #: Function words that stand in where a language has few labelled rows; they count as text beside the sample.
 SEEDS = {
@@ -155,6 +155,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema = T.StructType(kept + [T.StructField(k, T.DataType.fromDDL(v)) for k, v in added.items()])
     names = [f.name for f in kept]
 
+    @lean
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pieces(batches, text):
             found = model.label(pdf[text].tolist())
@@ -169,6 +170,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows, unchanged, of which at least ``least`` of the words are in known languages, whichever they are. One pass, no shuffle."""
 
+    @lean
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pieces(batches, text):
             known = model.known(pdf[text].tolist())

@@ -187,9 +187,13 @@ def pack(docs: DataFrame, capacity: int = 2048, key: str = "doc_id", text: str =
     by: dict[int, list] = defaultdict(list)
     for a, lo, hi, first, k, slot in rows:
         by[a].append((lo, hi, first, k, slot))
-    table = spark.createDataFrame([(a, v) for a, v in by.items()], "__len long, __runs array<struct<lo:long,hi:long,first:long,k:long,slot:int>>")
-    run = F.element_at(F.filter("__runs", lambda x: (F.col("__rank") >= x["lo"]) & (F.col("__rank") < x["hi"])), 1)
-    placed = ranked.join(table, "__len", "left").withColumn("__run", F.when(full, run))
+    table = spark.createDataFrame([(a, v, [x[0] for x in v]) for a, v in by.items()], "__len long, __runs array<struct<lo:long,hi:long,first:long,k:long,slot:int>>, __los array<long>")
+    # places of numbers below the rank, by halving: as many steps as the longest array needs
+    joined, at = ranked.join(table, "__len", "left"), F.lit(0)
+    for step in [1 << k for k in range(max(map(len, by.values()), default=1).bit_length() - 1, -1, -1)]:
+        joined = joined.withColumn("__at", F.when((at + step <= F.size("__runs")) & (F.get("__los", at + step - 1) <= F.col("__rank")), at + step).otherwise(at))
+        at = F.col("__at")
+    placed = joined.withColumn("__run", F.when(full, F.get("__runs", at - 1)))
     inner = F.col("__rank") - F.col("__run.lo")
     return placed.select(
         F.col("__key").alias(key),

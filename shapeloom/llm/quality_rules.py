@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blob_rows, collect_blobs, joined, materialise, pieces, slots
+from .common import blob_rows, collect_blobs, joined, lean, materialise, pieces, slots
 
 BUCKETS = 1 << 16
 #: Slots of the bitmap that spares documents without trusted key the way to the join.
@@ -73,6 +73,7 @@ def ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "
     both = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.when(F.col(key).isNotNull(), _slot(key)).otherwise(-1).alias("slot"))
     columns = ["part", "data", "key", "grams"]
 
+    @lean
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for pdf in pieces(batches, "text"):
@@ -114,6 +115,7 @@ def _scores(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, llr double): the score of every document."""
 
+    @lean
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pieces(batches, "__text"):
             s = _scores(pdf["__text"].tolist(), weights)
@@ -148,6 +150,7 @@ def accepted(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str =
     weights = ratios(docs, trusted, text, key)
     least = threshold(score(docs, weights, text, key), trusted, key, quantile, margin)
 
+    @lean
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pieces(batches, text):
             yield pdf[np.nan_to_num(_scores(pdf[text].tolist(), weights), nan=-np.inf) >= max(least, -1e300)]

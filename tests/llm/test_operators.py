@@ -405,6 +405,13 @@ def test_recall_against_brute_force(vectors):
     assert all(a[1] <= b[1] for v in got.values() for a, b in zip(v, v[1:]))
 
 
+def test_a_set_of_queries_against_all_rows(vectors):
+    _, df = vectors
+    every = {(r["vec_id"], r["rank"]): r["neighbour"] for r in ann.neighbours(df, 5, shard_rows=600).collect()}
+    some = {(r["vec_id"], r["rank"]): r["neighbour"] for r in ann.neighbours(df, 5, shard_rows=600, of=lambda i: i % 20 == 0).collect()}
+    assert some == {k: v for k, v in every.items() if k[0] % 20 == 0} and len(some) == 75 * 5
+
+
 def test_few_vectors(spark, vectors):
     _, df = vectors
     assert ann.neighbours(df.limit(0)).count() == 0 and ann.neighbours(df.filter("vec_id < 1")).count() == 0
