@@ -8,18 +8,25 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from typing import TextIO
 
 from .functions.request import InvalidRequest, digest
-from .operators.rank import PHASES, SORTS, rank_shapes, summary
+from .operators.rank import PHASES, SORTS
 from .options import INDEX_MODES, LEVELS, InvalidOption, Options
 
 OK, INVALID, USAGE = 0, 1, 2
 
 
+def _number(text: str) -> int:
+    if not (text.isascii() and text.isdigit()):
+        raise argparse.ArgumentTypeError(f"a number, not {text!r}")
+    return int(text)
+
+
 def _cap(text: str) -> int | None:
-    return None if text == "none" else int(text)
+    return None if text == "none" else _number(text)
 
 
 def _shared(p: argparse.ArgumentParser) -> None:
@@ -27,7 +34,7 @@ def _shared(p: argparse.ArgumentParser) -> None:
     for name, default in (("clauses", 12), ("values", 5), ("length", 512)):
         p.add_argument(f"--max-{name}", type=_cap, default=default, metavar="N|none")
     p.add_argument("--hash-version", default="q4")
-    p.add_argument("--hash-length", type=int, default=12)
+    p.add_argument("--hash-length", type=_number, default=12)
     p.add_argument("--agg-names", action="store_true")
     p.add_argument("--raw-index", action="store_true")
     p.add_argument("files", nargs="*", default=["-"])
@@ -89,10 +96,14 @@ def _bodies(argv: list[str], stdin: TextIO, out: TextIO, err: TextIO) -> int:
     return INVALID if failed else OK
 
 
-def _slowlog(argv: list[str], out: TextIO, err: TextIO) -> int:
-    from pyspark.sql import SparkSession
+def _slowlog(argv: list[str], stdin: TextIO, out: TextIO, err: TextIO) -> int:
+    from functools import reduce
+
+    from pyspark import StorageLevel
+    from pyspark.sql import DataFrame, SparkSession
 
     from .operators import report
+    from .operators.rank import counted, failures, ranked, read_records, readable, shapes
     from .sources import slowlog
 
     p = argparse.ArgumentParser("shapeloom slowlog")
@@ -104,12 +115,26 @@ def _slowlog(argv: list[str], out: TextIO, err: TextIO) -> int:
     a = p.parse_args(argv)
     options = _options(a)
     spark = SparkSession.builder.getOrCreate()
-    lines = slowlog.read(spark, a.files if len(a.files) > 1 else a.files[0])
-    counts = summary(lines, a.phase, options)
-    if not counts.shapes:
-        print(f"shapeloom slowlog: no search record in {report.plural(counts.lines, 'line')}", file=err)
-        return INVALID
-    rows = [r.asDict() for r in rank_shapes(lines, a.phase, a.sort, a.top, options, "place").collect()]
+    for name in a.files:
+        if name != "-" and "://" not in name and not os.path.exists(name):
+            print(f"shapeloom slowlog: can't read {name}", file=err)
+            return USAGE
+    files = [f for f in a.files if f != "-"]
+    parts = [slowlog.read(spark, files)] if files else []
+    parts += [slowlog.of_lines(spark, stdin)] if "-" in a.files else []
+    # lines are parsed and digested once; what doesn't fit into memory is kept on disk
+    read = read_records(reduce(DataFrame.unionByName, parts), a.phase, options).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        counts = counted(read)
+        if counts.failed:
+            for r in slowlog.numbered(read, failures(read)).toLocalIterator():
+                print(f"shapeloom slowlog: {r['file']} line {r['number']}: {r['error']}", file=err)
+        if not counts.shapes:
+            print(f"shapeloom slowlog: no search record in {report.plural(counts.lines, 'line')}", file=err)
+            return INVALID
+        rows = [r.asDict() for r in ranked(readable(shapes(read, "place")), a.sort, a.top).collect()]
+    finally:
+        read.unpersist()
     print(report.as_json(rows) if a.json else report.heading(counts) + report.table(rows, a.sort) + report.footer(counts.shapes, len(rows)), file=out, end="\n" if a.json else "")
     return INVALID if counts.failed else OK
 
@@ -117,7 +142,7 @@ def _slowlog(argv: list[str], out: TextIO, err: TextIO) -> int:
 def main(argv: list[str] | None = None, stdin: TextIO = sys.stdin, out: TextIO = sys.stdout, err: TextIO = sys.stderr) -> int:
     argv = list(sys.argv[1:] if argv is None else argv)
     try:
-        return _slowlog(argv[1:], out, err) if argv[:1] == ["slowlog"] else _bodies(argv, stdin, out, err)
+        return _slowlog(argv[1:], stdin, out, err) if argv[:1] == ["slowlog"] else _bodies(argv, stdin, out, err)
     except InvalidOption as e:
         print(f"shapeloom: {e}", file=err)
         return USAGE

@@ -6,7 +6,7 @@ Every plan is one aggregation by fingerprint, so one shuffle with partial aggreg
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.rank import nearest_rank
@@ -24,13 +24,6 @@ def _limited(found: DataFrame, order: list[Column], top: int | None) -> DataFram
     return found if top is None else found.limit(top)
 
 
-def _candidates(log: DataFrame, limit: int | None) -> DataFrame:
-    if limit is None:
-        return log
-    most = log.groupBy("hash").count().orderBy(F.desc("count"), "hash").limit(limit)
-    return log.join(F.broadcast(most.select("hash")), "hash", "left_semi")  # as many rows as the limit says
-
-
 def worst_p95(log: DataFrame, top: int | None = 3) -> DataFrame:
     """Shapes with the worst p95."""
     found = log.groupBy("hash").agg(F.min("sig").alias("sig"), F.count("*").alias("count"), nearest_rank("took", 0.95).alias("p95"))
@@ -54,13 +47,17 @@ def _when(split, start=None, end=None) -> tuple[Column, Column]:
 
 
 def _halves(log: DataFrame, before: Column, after: Column) -> DataFrame:
-    rows = log.filter(before | after).withColumns({"__b": F.when(before, F.col("took")), "__a": F.when(after, F.col("took")), "__inb": before, "__ina": after})
-    return rows.groupBy("hash").agg(F.min("sig").alias("sig"), F.count_if("__inb").alias("before"), F.count_if("__ina").alias("after"), nearest_rank("__b", 0.95).alias("p95_before"), nearest_rank("__a", 0.95).alias("p95_after"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    seen = F.when(before | after, F.col("ts"))
+    rows = log.select("hash", "sig", F.when(before, F.col("took")).alias("b"), F.when(after, F.col("took")).alias("a"), before.alias("inb"), after.alias("ina"), seen.alias("seen"))
+    return rows.groupBy("hash").agg(F.min("sig").alias("sig"), F.count("*").alias("searches"), F.count_if("inb").alias("before"), F.count_if("ina").alias("after"), nearest_rank("b", 0.95).alias("p95_before"), nearest_rank("a", 0.95).alias("p95_after"), F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen")).filter("before > 0 or after > 0")
 
 
 def regressed(log: DataFrame, split, start=None, end=None, top: int | None = 3, candidate_limit: int | None = None) -> DataFrame:
     """Shapes by p95 after over p95 before the split; those that weren't there before are left out, a p95 of 0 before gives 0."""
-    found = _halves(_candidates(log, candidate_limit), *_when(split, start, end)).filter("before > 0")
+    found = _halves(log, *_when(split, start, end))
+    if candidate_limit is not None:  # by all searches of the log, counted in the same pass
+        found = found.orderBy(F.desc("searches"), "hash").limit(candidate_limit)
+    found = found.filter("before > 0")
     ratio = F.coalesce(F.try_divide(F.col("p95_after"), F.col("p95_before")), F.lit(0.0)).alias("ratio")
     return _limited(found.select("hash", "sig", "p95_before", "p95_after", ratio), [F.desc("ratio"), F.col("hash")], top)
 
@@ -91,10 +88,20 @@ def time_by_shape(log: DataFrame, top: int | None = 10) -> DataFrame:
 
 def p95_over_time(log: DataFrame, interval: str = "1 hour", top: int = 5) -> DataFrame:
     """p95 in each interval of the shapes with the worst p95 of all."""
-    worst = worst_p95(log, top).select("hash")
-    some = log.join(F.broadcast(worst), "hash", "left_semi")  # ``top`` rows
-    found = some.groupBy(F.window("ts", interval)["start"].alias("bucket"), "hash").agg(F.count("*").alias("count"), nearest_rank("took", 0.95).alias("p95"))
-    return found.orderBy("bucket", "hash")
+    # one pass: the log as counts of (shape, interval, time), from which both percentiles follow by running sums
+    per = log.groupBy("hash", F.window("ts", interval)["start"].alias("bucket"), "took").agg(F.count("*").alias("n"))
+    timed = F.when(F.col("took").isNotNull(), F.col("n")).otherwise(0)
+
+    def p95(*by: str) -> Column:
+        whole, upto = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("took").rangeBetween(Window.unboundedPreceding, 0)
+        return F.when(F.col("took").isNotNull() & (F.sum(timed).over(upto) >= F.ceil(F.sum(timed).over(whole) * F.lit(0.95))), F.col("took"))
+
+    both = per.select("hash", "bucket", "n", p95("hash").alias("of_all"), p95("hash", "bucket").alias("of_bucket"))
+    found = both.groupBy("hash", "bucket").agg(F.sum("n").alias("count"), F.min("of_bucket").alias("p95"), F.min("of_all").alias("all"))
+    # a shape's intervals as one row, so that the worst are the first ``top`` rows of an order
+    shape = found.groupBy("hash").agg(F.min("all").alias("worst"), F.collect_list(F.struct("bucket", "count", "p95")).alias("per"))
+    worst = shape.orderBy(F.desc("worst"), "hash").limit(top)
+    return worst.select(F.explode("per").alias("x"), "hash").select("x.bucket", "hash", "x.count", "x.p95").orderBy("bucket", "hash")
 
 
 def against_shifted(log: DataFrame, start, end, shift: str = "1 hour", top: int | None = 10) -> DataFrame:
