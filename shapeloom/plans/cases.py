@@ -59,7 +59,8 @@ class Case:
     def oracle(self) -> str:
         o = self.options
         rules = f", '{self.rules}' AS rules" if self.rules is not None else ""
-        return f"SELECT event_id AS id, {sql(self.q)} AS q, {sql(self.sig)} AS sig, '{o.version}:' || left(sha256({sql(self.full)}), {o.hash_length}) AS hash{rules} FROM events"
+        short = lambda x: f"CASE WHEN length({x}) > {o.max_length} THEN left({x}, {o.max_length - 1}) || '…' ELSE {x} END" if o.max_length != 512 else x
+        return f"SELECT event_id AS id, {short(sql(self.q))} AS q, {short(sql(self.sig))} AS sig, '{o.version}:' || left(sha256({sql(self.full)}), {o.hash_length}) AS hash{rules} FROM events"
 
 
 def clause(body: str, text: str, signature: str, notes: str = "", **more) -> Case:
@@ -77,7 +78,7 @@ CASES: dict[str, Case] = {
     "clause_term_object": clause('{"term":{"type":{"value":"$v","boost":2}}}', "type:$v", "type:?", rules="boost_droppedx1 index_patternx1"),
     "clause_terms": clause('{"terms":{"type":["$v","b$m"]}}', "type:($v or b$m)", "type:(? or ?)"),
     "clause_terms_capped": clause('{"terms":{"n":[$n,1,2,3,4,5,6]}}', "n:($n or 1 or 2 or 3 or 4 or +2)", "n:(? or ? or ? or ? or ? or +2)", full="q=(n:(? or ? or ? or ? or ? or ? or ?)) | size=$m"),
-    "clause_terms_lookup": clause('{"terms":{"type":{"index":"$v","id":"1","path":"p"}}}', "type:(<terms-lookup>)", "type:raw(?)", "terms_lookup"),
+    "clause_terms_lookup": clause('{"terms":{"type":{"index":"$v","id":"1","path":"p"}}}', "type:(<terms-lookup>)", "type:raw(?)", "terms_lookup", rules="index_patternx1 terms_lookupx1"),
     "clause_terms_set": clause('{"terms_set":{"tags":{"terms":["$v"],"minimum_should_match_field":"need"}}}', "tags:(<terms-lookup>)", "tags:raw(?)", "terms_lookup"),
     "clause_match": clause('{"match":{"title":"$v"}}', "title:$v", "title:~?"),
     "clause_match_object": clause('{"match":{"title":{"query":"$v $m","operator":"and"}}}', 'title:"$v $m"', "title:~?"),
@@ -91,7 +92,7 @@ CASES: dict[str, Case] = {
     "clause_common": clause('{"common":{"type":{"query":"$v"}}}', "type:$v", "type:~?"),
     "clause_exists": clause('{"exists":{"field":"$v"}}', "$v:*", "$v:*"),
     "clause_range": clause('{"range":{"n":{"lt":$n,"gte":$m}}}', "n >= $m and n < $n", "n >= ? and n < ?"),
-    "clause_range_legacy": clause('{"range":{"n":{"from":$m,"to":$n,"include_upper":true,"include_lower":false}}}', "n > $m and n <= $n", "n > ? and n <= ?"),
+    "clause_range_legacy": clause('{"range":{"n":{"from":$m,"to":$n,"include_upper":true,"include_lower":false}}}', "n > $m and n <= $n", "n > ? and n <= ?", rules="index_patternx1 range_legacy_boundsx1"),
     "clause_range_unbounded": clause('{"range":{"n":{"format":"$v","to":null,"from":null}}}', "n:*", "n:*", rules="index_patternx1 range_unboundedx1"),
     "clause_range_null": clause('{"range":{"n":{"gte":null}}}', "n >= null", "n >= ?"),
     "clause_ids": clause('{"ids":{"values":["$n","$m"]}}', "_id:($n or $m)", "_id:(? or ?)"),
@@ -108,24 +109,24 @@ CASES: dict[str, Case] = {
     "clause_geo_polygon": clause('{"geo_polygon":{"at":{"points":[$m]}}}', "at:geo_polygon()", "at:geo_polygon()"),
     "clause_geo_shape": clause('{"geo_shape":{"area":{"shape":{"type":"Polygon","coordinates":[$m]},"relation":"WITHIN"}}}', "area:geo_shape(polygon,within)", "area:geo_shape(polygon,within)"),
     "clause_xy_shape": clause('{"xy_shape":{"area":{"shape":{"type":"point","coordinates":[$m]}}}}', "area:xy_shape(point,intersects)", "area:xy_shape(point,intersects)"),
-    "clause_indexed_shape": clause('{"geo_shape":{"area":{"indexed_shape":{"id":"$v"},"relation":"disjoint"}}}', "area:geo_shape(indexed,disjoint)", "area:geo_shape(indexed,disjoint)", "indexed_shape"),
+    "clause_indexed_shape": clause('{"geo_shape":{"area":{"indexed_shape":{"id":"$v"},"relation":"disjoint"}}}', "area:geo_shape(indexed,disjoint)", "area:geo_shape(indexed,disjoint)", "indexed_shape", rules="index_patternx1 indexed_shapex1"),
     "clause_script": clause('{"script":{"script":{"lang":"x","source":"n > $n"}}}', "script(n > $n)", "script(?)"),
     "clause_has_child": clause('{"has_child":{"type":"reply","query":@type@}}', "has_child(reply):{ type:$v }", "has_child(reply):{ type:? }"),
     "clause_has_parent": clause('{"has_parent":{"parent_type":"post","query":{"range":{"n":{"gt":$n}}}}}', "has_parent(post):{ n > $n }", "has_parent(post):{ n > ? }"),
     "clause_parent_id": clause('{"parent_id":{"type":"reply","id":"$n"}}', "parent_id(reply):$n", "parent_id(reply):?"),
     "clause_more_like_this": clause('{"more_like_this":{"fields":["a","b"],"like":["$v",{"_id":"1"}]}}', 'a|b:like($v or "<doc>")', "a|b:like(? or ?)"),
     "clause_constant_score": clause('{"constant_score":{"filter":@type@,"boost":2}}', "type:$v", "type:?", rules="constant_score_unwrappedx1 index_patternx1"),
-    "clause_function_score": clause('{"function_score":{"query":@type@,"functions":[]}}', "type:$v", "type:?", "function_score"),
-    "clause_script_score": clause('{"script_score":{"query":@type@,"min_score":$m}}', "type:$v", "type:?", "script_score:min_score"),
-    "clause_boosting": clause('{"boosting":{"positive":@type@,"negative":{"match_all":{}}}}', "type:$v", "type:?", "boosting"),
+    "clause_function_score": clause('{"function_score":{"query":@type@,"functions":[]}}', "type:$v", "type:?", "function_score", rules="function_score_unwrappedx1 index_patternx1"),
+    "clause_script_score": clause('{"script_score":{"query":@type@,"min_score":$m}}', "type:$v", "type:?", "script_score:min_score", rules="index_patternx1 script_score_unwrappedx1"),
+    "clause_boosting": clause('{"boosting":{"positive":@type@,"negative":{"match_all":{}}}}', "type:$v", "type:?", "boosting", rules="boosting_unwrappedx1 index_patternx1"),
     "clause_dis_max": clause('{"dis_max":{"queries":[@a@,{"term":{"b":$n}}]}}', "a:$v or b:$n", "a:? or b:?"),
     "clause_hybrid": clause('{"hybrid":{"queries":[{"match":{"a":"$v"}},{"neural":{"b":{"k":$m}}}]}}', "a:$v or b:neural(k=$m)", "a:~? or b:neural(k=?)"),
     "clause_percolate": clause('{"percolate":{"field":"query","document":{"type":"$v"}}}', "query:percolate()", "query:percolate()"),
-    "clause_percolate_lookup": clause('{"percolate":{"field":"query","index":"i","id":"$n"}}', "query:percolate(indexed)", "query:percolate(indexed)", "percolate_lookup"),
+    "clause_percolate_lookup": clause('{"percolate":{"field":"query","index":"i","id":"$n"}}', "query:percolate(indexed)", "query:percolate(indexed)", "percolate_lookup", rules="index_patternx1 percolate_lookupx1"),
     "clause_rank_feature": clause('{"rank_feature":{"field":"$v","saturation":{}}}', "$v:rank_feature()", "$v:rank_feature()"),
     "clause_distance_feature": clause('{"distance_feature":{"field":"at","pivot":"$md","origin":"now"}}', "at:distance_feature(pivot=$md)", "at:distance_feature(pivot=?)"),
     "clause_intervals": clause('{"intervals":{"text":{"match":{"query":"$v"}}}}', "text:intervals()", "text:intervals()"),
-    "clause_wrapper": clause('{"bool":{"must":[{"wrapper":{"query":"' + _wrapped() + '"}},@type@]}}', "kind:fixed and type:$v", "kind:? and type:?"),
+    "clause_wrapper": clause('{"bool":{"must":[{"wrapper":{"query":"' + _wrapped() + '"}},@type@]}}', "kind:fixed and type:$v", "kind:? and type:?", rules="index_patternx1 wrapper_decodedx1"),
     "clause_match_all": clause('{"match_all":{"_name":"$v"}}', "*", "*"),
     "clause_match_none": clause('{"match_none":{"_name":"$v"}}', "none", "none"),
     "clause_malformed": clause('{"bool":{"must":[{"term":"$v"},{"match_phrase":{}},{"exists":{"field":$n}},{"terms":7}]}}', "exists(?) and phrase(?) and term(?) and terms(?)", "exists(?) and phrase(?) and term(?) and terms(?)"),
@@ -134,6 +135,11 @@ CASES: dict[str, Case] = {
     "bool_should_boosts": clause('{"bool":{"must":[@a@],"should":[{"exists":{"field":"b"}},{"exists":{"field":"c"}}]}}', "a:$v", "a:?", "should=2", rules="index_patternx1 should_boost_onlyx1 unwrapx1"),
     "bool_minimum": clause('{"bool":{"filter":[@z@],"should":[{"term":{"a":1}},{"term":{"b":$n}},{"term":{"c":3}}],"minimum_should_match":2}}', "(a:1 or b:$n or c:3){msm=2} and z:$v", "(a:? or b:? or c:?){msm=2} and z:?"),
     "bool_minimum_percent": clause('{"bool":{"should":[@a@,{"term":{"b":1}}],"minimum_should_match":"75%"}}', "a:$v or b:1", "a:? or b:?", "msm=75%"),
+    "canon_flatten_or": clause('{"bool":{"should":[{"term":{"a":1}},{"bool":{"should":[@b@,{"term":{"c":2}}]}}]}}', "a:1 or b:$v or c:2", "a:? or b:? or c:?", rules="flattenx1 index_patternx1 unwrapx2"),
+    "bool_minimum_zero": clause('{"bool":{"must":{"term":{"a":1}},"should":@b@,"minimum_should_match":0}}', "a:1 and b:$v", "a:? and b:?", rules="index_patternx1"),
+    "bool_minimum_one": clause('{"bool":{"must":{"term":{"a":1}},"should":[@b@,{"term":{"c":1}}],"minimum_should_match":1}}', "a:1 and (b:$v or c:1)", "a:? and (b:? or c:?)", rules="index_patternx1"),
+    "request_both_aggs": Case('{"aggs":{"a":{"max":{"field":"$v"}}},"aggregations":{"b":{"min":{"field":"x"}}},"size":0}', "aggs=max($v), min(x) | size=0", "aggs=max($v), min(x) | size=0"),
+    "option_length_cap": clause('{"bool":{"must":[@a@,{"term":{"b":$n}}]}}', "a:$v and b:$n", "a:? and b:?", options=Options(max_length=24)),
     "canon_flatten": clause('{"bool":{"must":[{"bool":{"must":[@a@,{"term":{"b":$n}}]}},{"term":{"c":1}}]}}', "a:$v and b:$n and c:1", "a:? and b:? and c:?", rules="flattenx1 index_patternx1"),
     "canon_dedupe": clause('{"bool":{"must":[@a@,{"term":{"b":1}},@a@]}}', "a:$v and b:1", "a:? and b:?", rules="dedupex1 index_patternx1"),
     "canon_reorder": clause('{"bool":{"must":[{"term":{"b":1}},@a@]}}', "a:$v and b:1", "a:? and b:?", rules="index_patternx1 reorderx1"),
@@ -149,7 +155,7 @@ CASES: dict[str, Case] = {
     "quoting": Case('{"query":{"term":{"t":"$v ($n)"}},"post_filter":{"term":{"u":""}}}', 'q=(t:"$v ($n)") | post=(u:"")', "q=(t:?) | post=(u:?)"),
     "request_envelope": Case('{"index":["metrics-2024-01-02","logs-7"],"body":{"query":@t@},"timeout":"1s"}', "q=(t:$v)", "q=(t:?)", index=None, idx="logs-*,metrics-*"),
     "request_post_filter": Case('{"query":@a@,"post_filter":{"term":{"b":$n}},"size":1}', "q=(a:$v) | post=(b:$n) | size=1", "q=(a:?) | post=(b:?) | size=1"),
-    "request_sections": Case('{"query":@a@,"_source":false,"highlight":{},"collapse":{"field":"f"},"from":20}', "q=(a:$v) | from=20 | +collapse +highlight", "q=(a:?) | from=20 | +collapse +highlight"),
+    "request_sections": Case('{"query":@a@,"_source":false,"highlight":{},"collapse":{"field":"f"},"from":20}', "q=(a:$v) | from=20 | +collapse +highlight", "q=(a:?) | from=20 | +collapse +highlight", rules="index_patternx1 section_ignoredx1"),
     "request_sort": Case('{"query":@a@,"sort":["_score",{"$v":{"order":"desc"}},{"x":"asc","y":{}}],"size":"7"}', "q=(a:$v) | size=7 sort=_score:desc,$v:desc,x:asc,y:asc", "q=(a:?) | size=7 sort=_score:desc,$v:desc,x:asc,y:asc"),
     "agg_terms": Case('{"aggs":{"a":{"terms":{"field":"$v","size":$m}}},"size":0}', "aggs=terms($v,$m) | size=0", "aggs=terms($v,$m) | size=0"),
     "agg_date_histogram": Case('{"aggregations":{"a":{"date_histogram":{"field":"$v","calendar_interval":"1d"}}},"size":0}', "aggs=date_histogram($v,1d) | size=0", "aggs=date_histogram($v,1d) | size=0"),

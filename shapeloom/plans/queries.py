@@ -14,8 +14,9 @@ from ..functions.columns import digests, index_pattern, register, with_digest
 from ..functions.extension import Clause
 from ..operators.rank import SORTS, nearest_rank, rank_shapes, ranked, shapes, top_per_bucket
 from ..options import Options
+from ..sources.bodies import of_text
 from ..sources.capture import observed
-from ..sources.records import rewrite
+from ..sources.records import as_line, rewrite
 from ..sources.slowlog import records
 from . import cases, workload
 
@@ -150,6 +151,46 @@ def extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return case.query(spark, sf_dir)
 
 
+def extension_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).select(F.col("event_id").alias("id"), cases.column('{"query":{"own":{"at":"f","k":"$v"}}}').alias("request"), F.lit("logs-7").alias("index"))
+    found = digests(rows, "request", "index", Options().with_renderer("own", _joined_terms), with_rules=True)
+    return found.select("id", F.array_join(F.transform("rules", lambda r: F.concat(r["rule"], F.lit("x"), r["count"].cast("string"))), " ").alias("rules"))
+
+
+def sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The captured searches as lines of a digest log, read back."""
+    lines = capture(spark, sf_dir).select(as_line().alias("value"))
+    return lines.select(F.from_json("value", "id bigint, idx string, sig string, hash string, took bigint").alias("x")).select("x.*")
+
+
+def ndjson_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request a line, with blank lines and carriage returns between."""
+    text = F.concat(F.lit("\r\n \n"), cases.column('{"query":{"term":{"t":"$v"}},"size":$m}'), F.lit("\r\n"))
+    rows = of_text(_events(spark, sf_dir).select(F.col("event_id").alias("id"), text.alias("text")), "text")
+    return digests(rows, "request").select("id", "q", "sig", "hash")
+
+
+def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index names as they are, numbers in them in their order."""
+    rows = _events(spark, sf_dir).select(F.col("event_id").alias("id"), F.lit("{}").alias("request"), F.expr("concat('logs-', event_id, '-x,a-10, a-9')").alias("index"))
+    return digests(rows, "request", "index", Options(index_normalizer="identity")).select("id", "idx")
+
+
+def json_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the JSON layout: a source that is text, text escaped twice, or an object."""
+    plain = "concat('{\"query\":{\"term\":{\"t\":\"', event_type, '\"}}}')"
+    escape = lambda x: f"replace(replace({x}, '\\\\', '\\\\\\\\'), '\"', '\\\\\"')"
+    source = f"CASE event_id % 3 WHEN 0 THEN concat('\"', {escape(plain)}, '\"') WHEN 1 THEN concat('\"', {escape(escape(plain))}, '\"') ELSE concat('{{\"size\":', event_id % 50, '}}') END"
+    lines = _events(spark, sf_dir).selectExpr("event_id AS id", f"concat('{{\"took_millis\":\"', event_id, '\",\"source\":', {source}, '}}') AS value")
+    return records(lines, "value", "id").select("id", "source", "took_ms", "phase", "status")
+
+
+def unknown_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that don't name their phase count with any."""
+    rows = _events(spark, sf_dir).selectExpr("concat('{\"size\":', event_id % 50, '}') AS source", "CAST(NULL AS STRING) AS index", "CAST(event_id AS DOUBLE) AS took_ms", "'' AS ts", "CASE event_id % 3 WHEN 0 THEN 'query' WHEN 1 THEN 'fetch' END AS phase")
+    return rank_shapes(rows, "query", top=None).select("hash", "sig", "count")
+
+
 def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     case = cases.clause('{"bool":{"must":[{"term":{"secret":"$v"}},{"term":{"t":$n}}]}}', "", "", options=Options(redactor=lambda field, value: "***" if field == "secret" else value))
     return case.query(spark, sf_dir)
@@ -193,6 +234,20 @@ ELSE '{"idx":"i-*","q":"' || s || '","sig":"' || s || '","hash":"q4:' || left(sh
     "digest_dedupe": (deduped, _one("q=(t:?) | size=$m", "q=(t:$v) | size=$m")),
     "sql_function": (sql_function, _one("logs-* | q=(t:?) | size=$m", "logs-* | q=(t:$v) | size=$m")),
     "extension_clause": (extension, _one("logs-* | q=(f:joined(k=?) and own(?)) | size=$m", "logs-* | q=(f:joined(k=$n) and own(?)) | size=$m", "q4x")),
+    "extension_rule": (extension_rule, "SELECT event_id AS id, 'extension_renderedx1 index_patternx1' AS rules FROM events"),
+    "log_sink": (sink, f"SELECT id, idx, sig, hash, took FROM ({_CAPTURE})"),
+    "ndjson_requests": (ndjson_requests, _one("q=(t:?) | size=$m", "q=(t:$v) | size=$m")),
+    "index_identity": (identity, "SELECT event_id AS id, 'a-10,a-9,logs-' || event_id || '-x' AS idx FROM events"),
+    "slowlog_json_forms": (json_forms, """SELECT event_id AS id, CASE event_id % 3 WHEN 2 THEN '{"size":' || event_id % 50 || '}' ELSE '{"query":{"term":{"t":"' || event_type || '"}}}' END AS source, event_id::DOUBLE AS took_ms, NULL::VARCHAR AS phase, 'record' AS status FROM events"""),
+    "phase_unknown_kept": (unknown_phase, "SELECT 'q4:' || left(sha256(sig), 12) AS hash, sig, count(*) AS count FROM (SELECT 'size=' || event_id % 50 AS sig FROM events WHERE event_id % 3 <> 1) GROUP BY sig"),
+    "workload_candidates": (
+        lambda s, d: workload.regressed(log(s, d), SPLIT, top=None, candidate_limit=3).select("hash", "p95_before", "p95_after"),
+        f"{_HALVES} SELECT hash, pb AS p95_before, pa AS p95_after FROM h WHERE before > 0 AND hash IN (SELECT hash FROM log GROUP BY hash ORDER BY count(*) DESC, hash LIMIT 3)",
+    ),
+    "workload_flat": (
+        lambda s, d: workload.worst_p95(workload.flat(log(s, d).select("ts", "took", "release", F.struct("hash", "sig", F.lit("").alias("q"), F.lit("").alias("idx")).alias("os"))), 3).select("hash", "count"),
+        f"{LOG} SELECT hash, count(*) AS count FROM log GROUP BY hash ORDER BY quantile_disc(took, 0.95) DESC, hash LIMIT 3",
+    ),
     "redaction": (redaction, _one("logs-* | q=(secret:? and t:?) | size=$m", "logs-* | q=(secret:*** and t:$n) | size=$m")),
     "request_errors": (errors, "SELECT event_id AS id, event_id % 4 = 3 AS ok, CASE WHEN event_id % 4 = 3 THEN 'q4:' || left(sha256(''), 12) END AS hash FROM events"),
     "workload_worst_p95": (lambda s, d: workload.worst_p95(log(s, d), 3), f"{LOG} SELECT hash, min(sig) AS sig, count(*) AS count, quantile_disc(took, 0.95) AS p95 FROM log GROUP BY hash ORDER BY p95 DESC, hash LIMIT 3"),

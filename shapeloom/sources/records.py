@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import digest_names, with_digest
@@ -22,6 +22,11 @@ def rewrite(records: DataFrame, request: str = "query", index: str = "index", op
     return read.withColumn(request, F.when(F.col(request).isNotNull(), shown)).select(records.columns)
 
 
+def as_line() -> Column:
+    """A row as a line of a digest log: JSON without null fields."""
+    return F.to_json(F.struct("*"), {"ignoreNullFields": "true"})
+
+
 def log(searches: DataFrame, path: str) -> None:
     """Appends digests with their cost to a digest log of JSON lines."""
-    searches.select(F.to_json(F.struct("*"), {"ignoreNullFields": "true"}).alias("value")).write.mode("append").text(path)
+    searches.select(as_line().alias("value")).write.mode("append").text(path)
