@@ -193,21 +193,22 @@ def _order(first: np.ndarray, value: np.ndarray, reverse: bool = False) -> np.nd
     return np.lexsort((v, first)) if packed is None else (packed & np.uint64(0xFFFFFF)).astype(np.int64)
 
 
-def signatures(gram: np.ndarray, size: np.ndarray, bands: Bands, logdf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, document, flags) of all sets, each document and signature once in a band.
+def signatures(gram: np.ndarray, size: np.ndarray, bands: Bands, logdf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, document, flags, band) of all sets, each document and signature once in a band.
 
     Flags: ``WHOLE`` and ``LESS`` for a subset, and one without a gram, that is indexed in the set's own band; ``ASK_WHOLE`` and ``ASK_LESS`` for what it looks up.
     """
     some = np.flatnonzero(size)
-    out_sig, out_doc, out_role = [], [], []
+    out_sig, out_doc, out_role, out_band = [], [], [], []
 
     def give(sig: np.ndarray, doc: np.ndarray, role: np.ndarray) -> None:
         out_sig.append(mix(sig))
         out_doc.append(doc)
         out_role.append(role.astype(np.uint8))
+        out_band.append(band[np.searchsorted(d, doc)].astype(np.uint8))
 
     if not len(some):
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint8)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.uint8)
     s = size[some].astype(np.int64)
     own, widest = bands.of(s), bands.widest(s)
     lf = logdf[(gram >> np.uint64(GRAM_BITS - DF_BITS)).astype(np.int64)]
@@ -260,7 +261,7 @@ def signatures(gram: np.ndarray, size: np.ndarray, bands: Bands, logdf: np.ndarr
         flags = np.where(wide, ASK_WHOLE, 0) | (LESS if step == 0 else 0)
         gone = np.flatnonzero(flags[place])
         give(sums[place[gone]] - value[gone] + tag[place[gone]], d[of[gone]], flags[place[gone]])
-    return np.concatenate(out_sig), np.concatenate(out_doc), np.concatenate(out_role)
+    return np.concatenate(out_sig), np.concatenate(out_doc), np.concatenate(out_role), np.concatenate(out_band)
 
 
 def _halves(low: np.ndarray) -> bytes:
@@ -301,8 +302,11 @@ def _packed(task: np.ndarray, low: np.ndarray, doc: np.ndarray, flag: np.ndarray
         yield pd.DataFrame(rows[at : at + 50], columns=["task", "keys", "labels", "sizes", "counts", "body"])
 
 
-def _index(batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], bands: Bands, logdf: np.ndarray, tasks: int) -> Iterator[pd.DataFrame]:
-    """The packed index of (grams, sizes, groups); a set that a task meets again soon isn't indexed twice."""
+def _index(batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], bands: Bands, logdf: np.ndarray, edge: np.ndarray) -> Iterator[pd.DataFrame]:
+    """The packed index of (grams, sizes, groups); a set that a task meets again soon isn't indexed twice.
+
+    A band's entries go to the tasks between its two ``edge`` values, by hash: so a document is named in few tasks, and a pair meets in few.
+    """
     held: list[tuple[np.ndarray, ...]] = []
     names: list[tuple[np.ndarray, ...]] = []
     have = docs = 0
@@ -316,8 +320,8 @@ def _index(batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], bands:
             fresh[i] = size[i] > 0 and k not in known
             known.add(k)
         gram, size, key, label = gram[np.repeat(fresh, size)], size[fresh], key[fresh], label[fresh]
-        sig, doc, role = signatures(gram, size, bands, logdf)
-        held.append(((sig >> np.uint64(32)).astype(np.int64) % tasks, (sig & np.uint64((1 << SIG_BITS) - 1)).astype(np.uint32), (doc + docs).astype(np.int32), role))
+        sig, doc, role, band = signatures(gram, size, bands, logdf)
+        held.append(((edge[band] + (sig >> np.uint64(32)).astype(np.float64) / 2.0**32 * (edge[band + 1] - edge[band])).astype(np.int64), (sig & np.uint64((1 << SIG_BITS) - 1)).astype(np.uint32), (doc + docs).astype(np.int32), role))
         names.append((key, label, size))
         have, docs = have + len(sig), docs + len(size)
         if have > ENTRIES:
@@ -477,7 +481,14 @@ class _Sketches:
         first = np.cumsum(wide) - wide
         code = self._code(_group(key, groups), key)
         order = np.argsort(code, kind="stable")
-        self.code, self.key, self.size, self.wide, self.first, self.bits, self.groups = code[order], key[order], size[order], wide[order], first[order], bits, groups
+        self.code, self.key, self.size, self.wide = code[order], key[order], size[order], wide[order]
+        first = first[order]
+        # the sketches of each width, a row each, in words
+        self.row, self.rows = np.zeros(len(key), dtype=np.int64), {}
+        for w in np.unique(wide).tolist():
+            at = np.flatnonzero(self.wide == w)
+            self.row[at] = np.arange(len(at))
+            self.rows[w] = np.concatenate([bits[(first[at[u : u + 4096], None] + np.arange(w)).ravel()].reshape(-1, w) for u in range(0, len(at), 4096)]).view(np.uint64 if w >= 8 else np.uint8)
 
     @staticmethod
     def _code(group: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -504,14 +515,20 @@ class _Sketches:
         out = np.zeros(len(x), dtype=np.int64)
         m, k = self.wide[x], self.wide[y]
         for a, b in np.unique(np.stack([m, k], 1), axis=0).tolist() if len(x) else ():
-            at = np.flatnonzero((m == a) & (k == b))
-            short = min(a, b)
-            for u in range(0, len(at), max(1, 4_000_000 // max(a, b))):
-                some = at[u : u + max(1, 4_000_000 // max(a, b))]
-                p, q = (np.bitwise_xor.reduce(self.bits[self.first[z[some]][:, None] + np.arange(w)].reshape(len(some), -1, short), axis=1) for z, w in ((x, a), (y, b)))
-                out[some] = np.bitwise_count(p ^ q).sum(1)
+            at, short = np.flatnonzero((m == a) & (k == b)), min(a, b)
+            step = max(1, 4_000_000 // max(a, b))
+            for u in range(0, len(at), step):
+                some = at[u : u + step]
+                p, q = self._folded(x[some], a, short), self._folded(y[some], b, short)
+                out[some] = np.bitwise_count(p ^ q).sum(1, dtype=np.int64)
         return out
 
+    def _folded(self, of: np.ndarray, wide: int, short: int) -> np.ndarray:
+        rows = self.rows[wide][self.row[of]]
+        if wide > short:
+            rows = np.bitwise_xor.reduce(rows.view(np.uint8).reshape(len(of), wide // short, short), axis=1)
+        return rows if short < 8 or rows.dtype == np.uint64 else np.ascontiguousarray(rows).view(np.uint64)
+
 
 class Join:
     """The self-join's tables: ``ids`` (id, key1, key2, size), one row a document with a set, and what was found on distinct sets."""
@@ -527,9 +544,9 @@ class Join:
         #: documents without a set
         self.none = once.filter("key1 is null and part is null").select("id")
         self.sketches = some.select("key1", "key2", "size", "sketch")
-        counted = collect_blobs(once.filter("part is not null").select("part", "data"), (1 << DF_BITS) + 1, "int32").astype(np.int64)
-        #: documents of each bucket of grams, over all documents, and their number
-        self.df, self.n_docs = counted[:-1], int(counted[-1])
+        counted = collect_blobs(once.filter("part is not null").select("part", "data"), (1 << DF_BITS) + 1 + len(self.bands.top))
+        #: documents of each bucket of grams, over all documents, their number, and the grams of each band's
+        self.df, self.n_docs, self.grams = counted[: 1 << DF_BITS], int(counted[1 << DF_BITS]), counted[(1 << DF_BITS) + 1 :]
         self.grouped = self._grouped(self._loose(some.select("key1", "low", "bands")))
         self.groups = max(1, min(math.ceil(self.n_docs / 131_072), max(8, math.ceil(self.n_docs / 524_288))))
         near = materialise(self._near(self._candidates()))
@@ -538,21 +555,22 @@ class Join:
 
     def _ids(self) -> DataFrame:
         """In one pass over the texts, a row for each document that has a set, and each task's document frequencies."""
-        n = self.n
+        n, bands = self.n, self.bands
         columns = ["id", "key1", "key2", "size", "sketch", "low", "bands", "part", "data"]
 
         @lean
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total, docs = np.zeros(1 << DF_BITS, dtype=np.int32), 0
+            total, docs, grams = np.zeros(1 << DF_BITS, dtype=np.int64), 0, np.zeros(len(bands.top), dtype=np.int64)
             for pdf in pieces(batches, "text"):
                 gram, size = gram_sets(pdf["text"].tolist(), n)
-                total += np.bincount((gram >> np.uint64(GRAM_BITS - DF_BITS)).astype(np.int64), minlength=1 << DF_BITS).astype(np.int32)
+                total += np.bincount((gram >> np.uint64(GRAM_BITS - DF_BITS)).astype(np.int64), minlength=1 << DF_BITS)
                 docs += int((size > 0).sum())
+                grams += np.bincount(bands.of(size), weights=size, minlength=len(grams)).astype(np.int64)
                 a, b = set_keys(gram, size)
                 low, band = minima(gram, size)
                 yield pd.DataFrame({"id": pdf["id"].to_numpy(), "key1": a, "key2": b, "size": size, "sketch": sketches(gram, size), "low": [x.tobytes() for x in low], "bands": [x.tobytes() for x in band], "part": None, "data": None})[size > 0]
                 yield pd.DataFrame({"id": pdf["id"].to_numpy()[size == 0]}, columns=columns).astype(object).where(lambda x: x.notna(), None)
-            yield blob_rows(np.concatenate([total, np.array([docs], dtype=np.int32)])).reindex(columns=columns).astype(object).where(lambda x: x.notna(), None)
+            yield blob_rows(np.concatenate([total, [docs], grams])).reindex(columns=columns).astype(object).where(lambda x: x.notna(), None)
 
         return self.docs.mapInPandas(work, f"id {self.id_type.simpleString()}, key1 long, key2 long, size long, sketch binary, low binary, bands binary, part int, data binary")
 
@@ -663,19 +681,22 @@ class Join:
         df, n_docs = self.df, self.n_docs
         logdf = np.log(np.minimum(1.0, (df + 1.0) / max(1, n_docs))).astype(np.float32)
         n, bands, packed, groups, least = self.n, self.bands, self.slots_of, self.groups, self.least
-        # tasks grow with the grams, so that each has about TOGETHER million entries, which it takes a million at a time
-        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // 3, math.ceil(int(df.sum()) * 2.5 / (TOGETHER * ENTRIES)), 1)
+        # tasks grow with the grams, so that each has about TOGETHER million entries, which it takes a million at a time; a gram has
+        # about 1.7 entries in its set's band and 0.8 in the next
+        share = 1.7 * self.grams + 0.8 * np.concatenate([[0], self.grams[:-1]])
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // 3, math.ceil(share.sum() / (TOGETHER * ENTRIES)), 1)
+        edge = np.concatenate([[0], np.cumsum(share)]) / max(share.sum(), 1) * (tasks - 1e-6)
 
         @lean
         def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             marked = np.unpackbits(packed).astype(bool)
             told = (gram_sets(pdf["text"].tolist(), n) for pdf in pieces((x[~marked[x["slot"].to_numpy(dtype=np.int64)]] for x in batches), "text"))
-            yield from _index(((gram, size, np.zeros(len(size), dtype=np.int64)) for gram, size in told), bands, logdf, tasks)
+            yield from _index(((gram, size, np.zeros(len(size), dtype=np.int64)) for gram, size in told), bands, logdf, edge)
 
         @lean
         def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             told = (pdf.iloc[at : at + 500] for pdf in batches for at in range(0, len(pdf), 500))
-            yield from _index(((_long(b"".join(pdf["grams"])), pdf["size"].to_numpy(dtype=np.int64), pdf["label"].fillna(0).to_numpy(dtype=np.int64)) for pdf in told), bands, logdf, tasks)
+            yield from _index(((_long(b"".join(pdf["grams"])), pdf["size"].to_numpy(dtype=np.int64), pdf["label"].to_numpy(dtype=np.int64)) for pdf in told), bands, logdf, edge)
 
         @lean
         def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -736,7 +757,7 @@ class Join:
 
         schema = "task int, keys binary, labels binary, sizes binary, counts binary, body binary"
         slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int").alias("slot")
-        blobs = self.docs.select("text", slot).mapInPandas(texts, schema).unionByName(self.grouped.select("grams", "size", "label").mapInPandas(sets, schema))
+        blobs = self.docs.select("text", slot).mapInPandas(texts, schema).unionByName(self.grouped.select("grams", "size", F.coalesce("label", F.lit(0)).alias("label")).mapInPandas(sets, schema))
         return blobs.repartitionById(tasks, "task").mapInPandas(meet, PAIR_ROWS)
 
     def _near(self, met: DataFrame) -> DataFrame:
@@ -847,8 +868,8 @@ class Join:
         def look(rows: list[tuple]) -> pd.DataFrame | None:
             rows = sorted({(r[4], r[0], r[1]): r for r in rows}.items())
             left = sum(not right for (right, _, _), _ in rows)
-            square = left == len(rows)
-            if len(rows) < 2 or not left or (not square and rows[0][1][5] == rows[0][1][6]):
+            square = bool(rows) and rows[0][1][5] == rows[0][1][6]
+            if len(rows) < 2 or not left or (not square and left == len(rows)):
                 return None
             grams = [_long(r[2]) for _, r in rows]
             size = np.array([len(g) for g in grams], dtype=np.float64)
