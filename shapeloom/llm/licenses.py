@@ -5,8 +5,8 @@ fewer). Templates stand in classes by size, each class at most ``ratio`` wide. A
 size of its largest template plus one stride less one, and start at every stride, a quarter of that template: so any place
 where a template may stand lies whole in some window. A window that holds ``least`` of a template's shingles then
 has at least a known Jaccard with it; from that, ``bands_for`` takes the number of bands of ``rows`` MinHash values
-which makes a miss less likely than ``miss``. Windows with fewer shingles of the class's templates than the smallest
-of them needs can't be verified and aren't hashed; that is exact, not a sample.
+which makes a miss less likely than ``miss``. Every window that shares a shingle with the class's templates is hashed; one that
+shares none can't collide but by chance.
 
 Candidates are verified on the shingles themselves. One pass, no shuffle; the templates are a parameter of fixed size.
 
@@ -43,6 +43,7 @@ TEMPLATES: dict[str, str] = {
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
     "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
 }
 SCHEMA = "license string, start int, end int, containment double"
 
@@ -95,8 +96,7 @@ class Index:
         self.classes = []
         left = sorted(range(len(sets)), key=lambda i: len(sets[i]))
         while left:
-            low = len(sets[left[0]])
-            members = [i for i in left if len(sets[i]) <= low * ratio]
+            members = [i for i in left if len(sets[i]) <= len(sets[left[0]]) * ratio]
             left = left[len(members) :]
             high = len(sets[members[-1]])
             stride = max(1, high // 4)
@@ -111,7 +111,7 @@ class Index:
                     keys.setdefault(k, []).append(i)
             known = np.array(sorted(keys), dtype=np.uint64)
             member = np.isin(self.every, np.concatenate([sets[i] for i in members]))
-            self.classes.append((members, window, stride, salt, keys, known, member, math.ceil(least * low - 1e-9)))
+            self.classes.append((members, window, stride, salt, keys, known, member))
 
     def _keys(self, values: np.ndarray) -> np.ndarray:
         """Band keys (windows, bands) of MinHash values (windows, bands * rows)."""
@@ -134,7 +134,7 @@ class Index:
         count = np.bincount(doc, minlength=len(texts))
         first = np.cumsum(count) - count
         out: list[tuple[int, str, int, int, float]] = []
-        for members, window, stride, salt, keys, known, member, needed in self.classes:
+        for members, window, stride, salt, keys, known, member in self.classes:
             mine = member[which]
             p, w = hit[mine], which[mine]
             if not len(p):
@@ -150,8 +150,6 @@ class Index:
             key, pair = key[order], pair[order]
             head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.concatenate([head, [len(key)]]))
-            some = size >= needed
-            head, size = head[some], size[some]
             found: dict[tuple[int, int], list[tuple[int, int, int, float]]] = {}
             for a in range(0, len(head), 4096):
                 hd, sz = head[a : a + 4096], size[a : a + 4096]

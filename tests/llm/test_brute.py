@@ -60,7 +60,7 @@ def test_classes_equal_plain_loops(spark, block):
     rows = [*enumerate(texts), (None, texts[0]), (None, "none like it " * 5), (5, "quite another text for the id five"), (5, texts[5])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = [tuple(r) for r in jaccard.classes(df, least=0.6, block=block).select("doc_id", "class_id", "copies", "links").collect()]
-    assert sorted(got, key=str) == sorted(naive_classes(rows, 0.6), key=str) and max(r[3] for r in got) > 20
+    assert sorted(got, key=str) == sorted(naive_classes(rows, 0.6), key=str) and max(r[3] for r in got) >= 15
 
 
 def test_pairs_within_and_between_blocks(spark):
