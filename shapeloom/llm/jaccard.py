@@ -551,7 +551,10 @@ class Join:
         self.groups = max(1, min(math.ceil(self.n_docs / 131_072), max(8, math.ceil(self.n_docs / 524_288))))
         near = materialise(self._near(self._candidates()))
         #: pairs of sets that aren't of one group
-        self.apart = materialise(self._verified(materialise(self._placed(near))))
+        placed = materialise(self._placed(near))
+        self.apart = materialise(self._verified(placed))
+        self.ids, self.none = materialise(self.ids), materialise(self.none)
+        discard(once, near, placed)
 
     def _ids(self) -> DataFrame:
         """In one pass over the texts, a row for each document that has a set, and each task's document frequencies."""
@@ -911,6 +914,10 @@ class Join:
         schema = "a1 long, a2 long, b1 long, b2 long, jaccard double, links long"
         return sets.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInPandas(work, schema)
 
+    def close(self) -> None:
+        """Deletes the tables that only pairs are told from."""
+        discard(self.grouped, self.apart)
+
     def pairs(self) -> DataFrame:
         """(a1, a2, b1, b2, jaccard) of all pairs of different sets that are similar, by their hashes."""
         return self.apart.unionByName(self._within(True).drop("links"))
@@ -939,7 +946,9 @@ class Join:
         named = every.filter("l is not null").groupBy("l").agg(F.min("least").alias("class_id"))
         found = every.join(named, "l", "left")
         name = F.coalesce("l", F.struct(F.col("key1").alias("k1"), F.col("key2").alias("k2"))).alias("name")
-        return materialise(found.select("key1", "key2", name, F.coalesce("class_id", "least").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links")))
+        out = materialise(found.select("key1", "key2", name, F.coalesce("class_id", "least").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links")))
+        discard(within, every)
+        return out
 
 
 def _hooked(edge: DataFrame, label: DataFrame) -> DataFrame:
@@ -979,7 +988,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", **options)
     documents that links and equal sets connect it with, ``copies``: documents with its set, itself included. Without words the class is null and both are 0.
     """
     found = Join(docs, key=key, text=text, **options)
-    every = found.ids.join(found.vertices(), ["key1", "key2"]).select(F.col("id").alias(key), "class_id", "copies", "links")
+    vertices = found.vertices()
+    found.close()
+    every = found.ids.join(vertices, ["key1", "key2"]).select(F.col("id").alias(key), "class_id", "copies", "links")
     none = found.none.select(F.col("id").alias(key), F.lit(None).cast(found.id_type).alias("class_id"), F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("links"))
     return every.unionByName(none)
 
@@ -1014,6 +1025,7 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **
     """
     found = Join(docs, key=key, text=text, **options)
     some = found.vertices().filter("copies > 1 or links > 0").select("key1", "key2", "name")
+    found.close()
     mine = found.ids.filter("id is not null").join(some, ["key1", "key2"]).groupBy("id", "key1", "key2").agg(F.first("name").alias("name"), F.count("*").alias("n"))
     mine = materialise(mine)
     first = mine.groupBy("name").agg(F.min(F.struct("id", "key1", "key2")).alias("f"))

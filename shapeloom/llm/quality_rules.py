@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blob_rows, collect_blobs, joined, lean, materialise, pieces, slots
+from .common import blob_rows, collect_blobs, discard, joined, lean, materialise, pieces, slots
 
 BUCKETS = 1 << 16
 #: Slots of the bitmap that spares documents without trusted key the way to the join.
@@ -102,6 +102,7 @@ def ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "
     met = once.filter("grams is not null").select("key", "grams").join(good.hint("merge"), "key", "left_semi").select("grams")
     raw = collect_blobs(once.filter("part is not null").select("part", "data"), BUCKETS) + 1.0
     target = collect_blobs(met.mapInPandas(add, "part int, data binary"), BUCKETS) + 1.0
+    discard(once)
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
