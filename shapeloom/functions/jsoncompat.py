@@ -12,6 +12,7 @@ import math
 import re
 import sys
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import cmp_to_key
 from typing import Any
 
@@ -45,8 +46,23 @@ def _constant(name: str) -> Any:
 
 
 _decoder = json.JSONDecoder(object_pairs_hook=_object, parse_int=_integer, parse_constant=_constant)
-if sys.getrecursionlimit() < 20_000:
-    sys.setrecursionlimit(20_000)
+#: Brackets of a text from which on more levels than usual may be needed.
+MANY = 150
+
+
+@contextmanager
+def deep(levels: int = 20_000) -> Iterator[None]:
+    """Recursion to so many levels within the block, and the limit that there was after it."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, levels))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
+
+
+def brackets(text: str) -> int:
+    return text.count("{") + text.count("[")
 
 
 def _too_deep(value: Any) -> bool:
@@ -61,11 +77,16 @@ def _too_deep(value: Any) -> bool:
 
 def decode(text: str) -> Any:
     """The value of a JSON text; ``Undecodable`` if it has none."""
+    many = brackets(text)
     try:
-        value = _decoder.decode(text.strip(" \t\n\r"))
+        if many > MANY:
+            with deep():
+                value = _decoder.decode(text.strip(" \t\n\r"))
+        else:
+            value = _decoder.decode(text.strip(" \t\n\r"))
     except (ValueError, RecursionError) as e:
         raise Undecodable("not JSON") from e
-    if isinstance(value, (dict, list)) and text.count("{") + text.count("[") > DEPTH and _too_deep(value):
+    if isinstance(value, (dict, list)) and many > DEPTH and _too_deep(value):
         raise Undecodable("nested too deeply")
     if "\\ud" in text or "\\uD" in text:
         try:
