@@ -18,7 +18,7 @@ from shapeloom.llm import ann, bpe, classifier, common, jaccard, langid, license
 LONG = "the quick house and " * 8000
 TEXTS = ["the cat sat on the mat and the dog", "", None, "   \n", "!!! ??", "the cat sat on the mat and the dog", LONG, "x" * 30000, "mail anna.b@example.com now", "Released under the MIT License.", "é\u0000ü 漢字 😀"]
 #: Columns that have the names of added ones, and others.
-CLASH = {c: 7 for c in "lang_id lang_share lang_spans shard tokens n_tokens restored llr keep bin_id piece start end length slot license containment quality toxic jaccard doc_a doc_b n_entities id key slot2 part data grams __x".split()}
+CLASH = {c: 7 for c in "lang_id lang_share lang_spans shard tokens n_tokens restored llr keep bin_id piece start end length slot license containment quality toxic jaccard doc_a doc_b n_entities id key slot2 part data grams __x __h __key __tokens __set1 __set2 __rank class_id copies links".split()}
 
 
 @pytest.fixture(scope="module")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from shapeloom.llm import langid
 
 
 @pytest.fixture(scope="module")
@@ -57,3 +58,41 @@ def test_copies_with_a_tenth_of_the_words_edited(spark, tmp_path):
 def test_one_query_an_operator():
     names = list(entry.queries())
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+
+
+def _written(spark, rows, labels, at):
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long"), "key1": F.lit(1), "llr": F.lit(2), "__set1": F.lit("x"), "slot": F.lit(3)})
+    df.write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    return df
+
+
+def test_awkward_tables(spark, tmp_path):
+    """Null and repeated ids, rows that are equal, one id with unlike texts, columns with the names of inner ones, a very long text."""
+    rng, known = random.Random(7), langid.SEEDS["en"].split()
+    clean = [" ".join(rng.choice(known) for _ in range(60)) for _ in range(20)]
+    rows = [*enumerate(clean), (None, clean[0]), (None, clean[1]), (3, clean[3]), (3, clean[3]), (4, " ".join(rng.choice(known) for _ in range(60))), (30, clean[5] + " and"), (31, " ".join(clean) * 40), (32, None), (33, "")]
+    _written(spark, rows, [(i, 1, 0) for i in range(20)], tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name == "packing":
+            continue
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name == "quality_rules":
+            before = [r["doc_id"] for r in docs.select("doc_id").collect()]
+            assert before.count(3) == 3 and before.count(None) == 2 and {30, 31} <= set(before) and not {32, 33} & set(before)
+            unlike = before.count(4)
+    kept = [r["doc_id"] for r in docs.select("doc_id").collect()]
+    assert sorted(x for x in kept if x is not None) == sorted([*range(20), *[4] * (unlike - 1), 31]) and kept.count(None) == 2
+    assert {r["doc_id"] for r in out.collect()} == set(kept)
+
+
+def test_an_empty_table(spark, tmp_path):
+    _written(spark, [(0, "x")], [(0, 1, 0)], tmp_path / "one")
+    empty = spark.read.parquet(f"{tmp_path}/one/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, str(tmp_path / "one"))
+        assert out.count() == 0 and (name == "packing" or out.columns == empty.columns)
