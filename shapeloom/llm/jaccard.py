@@ -64,6 +64,8 @@ HELD = 2_000_000
 #: Entries that a task or bucket has in memory at a time, and buckets that one task takes after one another.
 ENTRIES = 1_000_000
 TOGETHER = 12
+#: Entries that a task of the index has in memory before it sends them.
+SENT = 500_000
 #: Minima of a set, minima a band of them, and how many have to agree for two sets to be put together.
 MINIMA = 32
 ROWS = 4
@@ -324,7 +326,7 @@ def _index(batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], bands:
         held.append(((edge[band] + (sig >> np.uint64(32)).astype(np.float64) / 2.0**32 * (edge[band + 1] - edge[band])).astype(np.int64), (sig & np.uint64((1 << SIG_BITS) - 1)).astype(np.uint32), (doc + docs).astype(np.int32), role))
         names.append((key, label, size))
         have, docs = have + len(sig), docs + len(size)
-        if have > ENTRIES:
+        if have > SENT:
             yield from _packed(*(np.concatenate(x) for x in zip(*held)), *(np.concatenate(x) for x in zip(*names)))
             held, names, have, docs = [], [], 0, 0
     if held:

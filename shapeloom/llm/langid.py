@@ -133,6 +133,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
             keep = keep | ((F.col(lang) == name) & (F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) < int(min(1.0, per_language / rows) * (1 << 30))))
         sample = docs.filter(keep).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
+        @lean
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros((len(latin), 1 << BITS), dtype=np.int64)
             for pdf in pieces(batches, "text"):

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import joined, pieces, runs, viterbi
+from .common import joined, lean, pieces, runs, viterbi
 
 LABELS = ["O", "EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN", "SECRET"]
 _SPACE = np.zeros(0x110000, dtype=bool)
@@ -354,6 +354,7 @@ def redact(docs: DataFrame, field: Field | None = None, text: str = "text", leng
     fields = [f for f in docs.schema.fields if f.name != count] + ([T.StructField(count, T.IntegerType())] if count else [])
     names = [f.name for f in fields if f.name != count]
 
+    @lean
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pieces(batches, text):
             texts = pdf[text].tolist()
