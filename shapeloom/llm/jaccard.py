@@ -23,7 +23,8 @@ a group are all looked at in the group's cells, a block of sets against a block,
 passed on only where they aren't of one group. A group of any size is work for as many cells as it has pairs of blocks.
 
 Meeting pairs whose sketches (parities of bucket counts) differ in more places than the sets may are no
-candidates; that is exact, too. The others are verified on the sets. Equal sets are joined by their 128-bit hash, not by the index.
+candidates; that is exact, too. They are dropped in the task that they meet in, which reads its sets' sketches from the shared folder: what
+meets grows with the square of the documents, and is never sent. The others are verified on the sets. Equal sets are joined by their 128-bit hash, not by the index.
 
 Signatures travel packed, 28 bits each, in blobs by task that name each document once.
 
@@ -36,11 +37,14 @@ partners of each other, and rows without id have none.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import NativeFile
+from pyarrow.fs import FileSelector, FileSystem
+from pyarrow.parquet import FileMetaData, ParquetFile, RowGroupMetaData
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -59,8 +63,10 @@ NEAR = 0.6
 SLOTS = 1 << 23
 #: Pairs that one numpy pass over a bucket's posting lists emits at a time.
 PAIRS = 2_000_000
-#: Pairs that a task keeps to tell which it has met before.
+#: Pairs that a task keeps to tell which it has sent before.
 HELD = 2_000_000
+#: Bytes of sketches that a task has in memory at a time.
+SKETCHED = 96_000_000
 #: Entries that a task or bucket has in memory at a time, and buckets that one task takes after one another.
 ENTRIES = 1_000_000
 TOGETHER = 12
@@ -467,58 +473,45 @@ def _forest(linked: np.ndarray, square: bool) -> list[tuple[int, int]]:
     return out
 
 
-PAIR_ROWS = "cell int, kind int, keys binary, sizes binary, sketch binary"
-
-
-def _group(key: np.ndarray, groups: int) -> np.ndarray:
-    return ((key.view(np.uint64) >> np.uint64(40)) % np.uint64(groups)).astype(np.int64)
+def _wide(size: np.ndarray) -> np.ndarray:
+    """Bytes of the sketches of sets of these sizes."""
+    return np.maximum(8, 2 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)) >> 3
 
 
 class _Sketches:
-    """The sketches of one or two groups of sets, by the groups and 32 bits of their hashes."""
-
-    def __init__(self, blobs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], groups: int):
-        key, size, bits = (np.concatenate(x) for x in zip(*blobs)) if blobs else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint8))
-        wide = np.maximum(8, 2 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)) >> 3
-        first = np.cumsum(wide) - wide
-        code = self._code(_group(key, groups), key)
-        order = np.argsort(code, kind="stable")
-        self.code, self.key, self.size, self.wide = code[order], key[order], size[order], wide[order]
-        first = first[order]
+    """The sketches of sets, in the order that they come in; ``mb``: megabytes of them that a pass over pairs takes."""
+
+    def __init__(self, blobs: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], mb: int):
+        self.mb = mb
+        keys, wides, rows = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], {}
+        for key, size, bits in blobs:
+            wide = _wide(size)
+            first = np.cumsum(wide) - wide
+            for w in np.unique(wide).tolist():
+                at = np.flatnonzero(wide == w)
+                step = max(1, 1_000_000 // w)
+                rows.setdefault(w, []).extend(bits[(first[at[u : u + step], None] + np.arange(w)).ravel()].reshape(-1, w) for u in range(0, len(at), step))
+            keys.append(key)
+            wides.append(wide)
+        self.key, self.wide = np.concatenate(keys), np.concatenate(wides)
         # the sketches of each width, a row each, in words
-        self.row, self.rows = np.zeros(len(key), dtype=np.int64), {}
-        for w in np.unique(wide).tolist():
-            at = np.flatnonzero(self.wide == w)
+        self.widths = np.array(sorted(rows), dtype=np.int64)
+        self.kind = np.searchsorted(self.widths, self.wide).astype(np.uint8)
+        self.row, self.rows = np.zeros(len(self.key), dtype=np.int64), {}
+        for k, w in enumerate(self.widths.tolist()):
+            at = np.flatnonzero(self.kind == k)
             self.row[at] = np.arange(len(at))
-            self.rows[w] = np.concatenate([bits[(first[at[u : u + 4096], None] + np.arange(w)).ravel()].reshape(-1, w) for u in range(0, len(at), 4096)]).view(np.uint64 if w >= 8 else np.uint8)
-
-    @staticmethod
-    def _code(group: np.ndarray, key: np.ndarray) -> np.ndarray:
-        return (group.astype(np.uint64) << np.uint64(32)) | (key.astype(np.uint64) & np.uint64(0xFFFFFFFF))
-
-    def find(self, pairs: np.ndarray, g: int, h: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the sets that pairs of short names mean, each with each where a name is shared."""
-        of, names = [], [self._code(np.full(len(pairs), x), pairs[:, k]) for k, x in enumerate((g, h))]
-        for c in names:
-            a, b = np.searchsorted(self.code, c), np.searchsorted(self.code, c, side="right")
-            of.append((a, b - a))
-        (a, m), (b, n) = of
-        if (m == 1).all() and (n == 1).all():
-            return a, b
-        times = m * n
-        row = np.repeat(np.arange(len(pairs)), times)
-        k = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-        x, y = a[row] + k // np.maximum(n[row], 1), b[row] + k % np.maximum(n[row], 1)
-        keep = x != y
-        return x[keep], y[keep]
+            self.rows[w] = np.concatenate(rows.pop(w)).view(np.uint64 if w >= 8 else np.uint8)
 
     def parted(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Places in which the sketches of each pair differ, the longer folded to the shorter: at most the grams that the sets differ in."""
         out = np.zeros(len(x), dtype=np.int64)
-        m, k = self.wide[x], self.wide[y]
-        for a, b in np.unique(np.stack([m, k], 1), axis=0).tolist() if len(x) else ():
-            at, short = np.flatnonzero((m == a) & (k == b)), min(a, b)
-            step = max(1, 4_000_000 // max(a, b))
+        code = (self.kind[x].astype(np.uint16) << np.uint16(8)) | self.kind[y]
+        for c in np.flatnonzero(np.bincount(code, minlength=1)).tolist():
+            i, j = divmod(c, 256)
+            a, b = int(self.widths[i]), int(self.widths[j])
+            at, short = np.flatnonzero(code == c), min(a, b)
+            step = max(1, self.mb * 1_000_000 // max(a, b))
             for u in range(0, len(at), step):
                 some = at[u : u + step]
                 p, q = self._folded(x[some], a, short), self._folded(y[some], b, short)
@@ -532,6 +525,86 @@ class _Sketches:
         return rows if short < 8 or rows.dtype == np.uint64 else np.ascontiguousarray(rows).view(np.uint64)
 
 
+class _Stored:
+    """A written table (band, key1, size, sketch), of which tasks read the sketches of some bands and keys, in a thread only and a megabyte at a time."""
+
+    def __init__(self, path: str):
+        self.system, at = FileSystem.from_uri(path)
+        self.parts = [(x.path, self._open(x.path)[1].metadata) for x in self.system.get_file_info(FileSelector(at)) if x.path.endswith(".parquet")]
+
+    def _open(self, path: str, known: FileMetaData | None = None) -> tuple[NativeFile, ParquetFile]:
+        file = self.system.open_input_file(path)
+        return file, ParquetFile(file, metadata=known, buffer_size=1 << 20, pre_buffer=False)
+
+    @staticmethod
+    def _span(group: RowGroupMetaData, name: str) -> tuple[float, float]:
+        """The least and greatest value of a column in a group of rows."""
+        found = next(x.statistics for x in map(group.column, range(group.num_columns)) if x.path_in_schema == name)
+        return (found.min, found.max) if found is not None and found.has_min_max else (-math.inf, math.inf)
+
+    def read(self, bands: np.ndarray, ranges: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(keys, sizes, bits) of the sets of these bands whose keys lie in one of the ranges, both ends included."""
+        for path, known in self.parts:
+            groups = []
+            for g in range(known.num_row_groups):
+                (a, b), (lo, hi) = (self._span(known.row_group(g), x) for x in ("band", "key1"))
+                if ((bands >= a) & (bands <= b)).any() and any(x <= hi and y >= lo for x, y in ranges):
+                    groups.append(g)
+            if not groups:
+                continue
+            file, part = self._open(path, known)
+            with file:
+                for batch in part.iter_batches(8192, row_groups=groups, columns=["band", "key1", "size", "sketch"], use_threads=False):
+                    key = batch.column("key1").to_numpy()
+                    keep = np.isin(batch.column("band").to_numpy(), bands) & np.logical_or.reduce([(key >= x) & (key <= y) for x, y in ranges])
+                    batch = batch.filter(pa.array(keep))
+                    if not len(batch):
+                        continue
+                    sketch = batch.column("sketch")
+                    _, ends, bits = sketch.buffers()
+                    ends = np.frombuffer(ends, dtype=np.int32)[sketch.offset : sketch.offset + len(sketch) + 1]
+                    yield key[keep], batch.column("size").to_numpy(), np.frombuffer(bits, dtype=np.uint8)[ends[0] : ends[-1]]
+
+
+def _survivors(buckets: list[np.ndarray], key: np.ndarray, label: np.ndarray, size: np.ndarray, bands: Bands, stored: _Stored, limit: int = SKETCHED) -> Iterator[np.ndarray]:
+    """Of the pairs that meet in ``buckets`` of entries (their documents: places in ``key``), those whose sketches don't tell that they differ in too much: a << 32 | b.
+
+    Where the sketches are of more than ``limit`` bytes, keys are in blocks of half of that, and looked at two blocks at a time. ``buckets`` is emptied.
+    """
+    upto = np.cumsum(_wide(size))
+    n = 1 if upto[-1] <= limit else max(2, math.ceil(2 * upto[-1] / limit))
+    block = np.minimum((upto - 1) * n // upto[-1], n - 1)
+    own = np.unique(bands.of(size))
+    for i, j in [(i, j) for i in range(n) for j in range(i + 1, n)] or [(0, 0)]:
+        mine = (block == i) | (block == j)
+        ranges = [(int(key[at[0]]), int(key[at[-1]])) for at in (np.flatnonzero(block == k) for k in {i, j}) if len(at)]
+        if not ranges:
+            continue
+        bits = _Sketches(stored.read(own, ranges), 1)
+        # a set with another of its name, or without a sketch, is near all that it meets
+        place = np.searchsorted(key, bits.key)
+        there = key[np.minimum(place, len(key) - 1)] == bits.key
+        row, times = np.zeros(len(key), dtype=np.int64), np.bincount(place[there], minlength=len(key))
+        row[place[there]] = np.flatnonzero(there)
+        for k in range(len(buckets)):
+            entries = buckets[k]
+            if n > 1:
+                entries = entries[mine[((entries >> np.uint64(4)) & np.uint64(0xFFFFFF)).astype(np.int64)]]
+            else:
+                buckets[k] = entries[:0]
+            for pairs in meetings(entries, label, size, bands.least):
+                a, b = pairs >> 32, pairs & 0xFFFFFFFF
+                if n > 1:  # a block's own pairs are looked at with the next block's, the last one's with those before
+                    fit = (block[a] != block[b]) | ((j == i + 1) & ((block[a] == i) | (j == n - 1)))
+                    pairs, a, b = pairs[fit], a[fit], b[fit]
+                sure = (times[a] == 1) & (times[b] == 1)
+                near = ~sure
+                x, y = (a, b) if sure.all() else (a[sure], b[sure])
+                near[sure] = bits.parted(row[x], row[y]) <= bands.differ(size[x], size[y])
+                yield pairs[near]
+        del bits
+
+
 class Join:
     """The self-join's tables: ``ids`` (id, key1, key2, size), one row a document with a set, and what was found on distinct sets."""
 
@@ -545,18 +618,18 @@ class Join:
         self.ids = some.select("id", "key1", "key2", "size")
         #: documents without a set
         self.none = once.filter("key1 is null and part is null").select("id")
-        self.sketches = some.select("key1", "key2", "size", "sketch")
         counted = collect_blobs(once.filter("part is not null").select("part", "data"), (1 << DF_BITS) + 1 + len(self.bands.top))
         #: documents of each bucket of grams, over all documents, their number, and the grams of each band's
         self.df, self.n_docs, self.grams = counted[: 1 << DF_BITS], int(counted[1 << DF_BITS]), counted[(1 << DF_BITS) + 1 :]
         self.grouped = self._grouped(self._loose(some.select("key1", "low", "bands")))
-        self.groups = max(1, min(math.ceil(self.n_docs / 131_072), max(8, math.ceil(self.n_docs / 524_288))))
-        near = materialise(self._near(self._candidates()))
+        self.ids, self.none = materialise(self.ids), materialise(self.none)
+        stored = materialise(self._stored(some))
+        discard(once)
+        near = materialise(self._near(self._candidates(stored)))
         #: pairs of sets that aren't of one group
         placed = materialise(self._placed(near))
         self.apart = materialise(self._verified(placed))
-        self.ids, self.none = materialise(self.ids), materialise(self.none)
-        discard(once, near, placed)
+        discard(stored, near, placed)
 
     def _ids(self) -> DataFrame:
         """In one pass over the texts, a row for each document that has a set, and each task's document frequencies."""
@@ -681,11 +754,19 @@ class Join:
         self.slots_of, sets = self._sets(labels)
         return materialise(sets.join(labels, "key1", "left"))
 
-    def _candidates(self) -> DataFrame:
+    def _stored(self, rows: DataFrame) -> DataFrame:
+        """(band, key1, size, sketch) of each set, in order of band and key, so that a task reads little but what it asks for."""
+        band = F.size(F.filter(F.array(*map(F.lit, self.bands.top)), lambda x: x < F.col("size"))).alias("band")
+        once = rows.dropDuplicates(["key1", "key2"]).select(band, "key1", "size", "sketch")
+        return once.repartitionByRange("band", "key1").sortWithinPartitions("band", "key1")
+
+    def _candidates(self, stored: DataFrame) -> DataFrame:
+        """(a, b): the pairs that meet and whose sketches don't tell that they differ in too much, of each task's once, mostly. No similar pair is lost."""
         spark = self.docs.sparkSession
         df, n_docs = self.df, self.n_docs
         logdf = np.log(np.minimum(1.0, (df + 1.0) / max(1, n_docs))).astype(np.float32)
-        n, bands, packed, groups, least = self.n, self.bands, self.slots_of, self.groups, self.least
+        n, bands, packed = self.n, self.bands, self.slots_of
+        path = next((x.rsplit("/", 1)[0] for x in stored.inputFiles()), None)
         # tasks grow with the grams, so that each has about TOGETHER million entries, which it takes a million at a time; a gram has
         # about 1.7 entries in its set's band and 0.8 in the next
         share = 1.7 * self.grams + 0.8 * np.concatenate([[0], self.grams[:-1]])
@@ -730,86 +811,36 @@ class Join:
             label[place[some]] = known[some]
             size, place = np.concatenate(sizes)[first].astype(np.int64), place.astype(np.uint64)
             del keys, labels, sizes, first
-            group, short = _group(key, groups), (key & 0xFFFFFFFF).astype(np.uint32)
+            for i in range(TOGETHER):
+                entries = np.concatenate(held[i])
+                held[i] = (entries & np.uint64(0xFFFFFFFFF000000F)) | (place[((entries >> np.uint64(4)) & np.uint64(0xFFFFFF)).astype(np.int64)] << np.uint64(4))
+            del place, entries
 
-            def told(pairs: np.ndarray) -> Iterator[pd.DataFrame]:
-                a, b = pairs >> 32, pairs & 0xFFFFFFFF
-                swap = (group[a] > group[b]) | ((group[a] == group[b]) & (short[a] > short[b]))
-                a, b = np.where(swap, b, a), np.where(swap, a, b)
-                cell = group[a] * groups + group[b]
-                order = np.argsort(cell, kind="stable")
-                cell, both = cell[order], np.stack([short[a], short[b]], 1)[order]
-                cut = np.concatenate([np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))), [len(cell)]]) if len(cell) else [0]
-                rows = [(int(cell[i]), 1, both[u : u + 100_000].tobytes(), None, None) for i, j in zip(cut[:-1], cut[1:]) for u in range(i, j, 100_000)]
-                for at in range(0, len(rows), 20):
-                    yield pd.DataFrame(rows[at : at + 20], columns=["cell", "kind", "keys", "sizes", "sketch"])
+            def told(pairs: np.ndarray) -> pd.DataFrame:
+                return pd.DataFrame({"a": key[pairs >> 32], "b": key[pairs & 0xFFFFFFFF]})
 
             known, have = [np.zeros(0, dtype=np.int64)], 0
-            while held:
-                entries = np.concatenate(held.pop())
-                doc = place[((entries >> np.uint64(4)) & np.uint64(0xFFFFFF)).astype(np.int64)]
-                entries = (entries & np.uint64(0xFFFFFFFFF000000F)) | (doc << np.uint64(4))
-                for pairs in meetings(entries, label, size, least):
-                    known.append(pairs)
-                    have += len(pairs)
-                    if have > 2 * HELD:  # pairs have no bound: no more than these are held
-                        known = [np.unique(np.concatenate(known))]
-                        have = len(known[0])
-                        if have > HELD:
-                            yield from told(known[0])
-                            known, have = [np.zeros(0, dtype=np.int64)], 0
-            yield from told(np.unique(np.concatenate(known)))
+            for pairs in _survivors(held, key, label, size, bands, _Stored(path)):
+                known.append(pairs)
+                have += len(pairs)
+                if have > 2 * HELD:  # pairs have no bound: no more than these are held
+                    known = [np.unique(np.concatenate(known))]
+                    have = len(known[0])
+                    if have > HELD:
+                        yield told(known[0])
+                        known, have = [np.zeros(0, dtype=np.int64)], 0
+            yield told(np.unique(np.concatenate(known)))
 
         schema = "task int, keys binary, labels binary, sizes binary, counts binary, body binary"
         slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int").alias("slot")
         blobs = self.docs.select("text", slot).mapInPandas(texts, schema).unionByName(self.grouped.select("grams", "size", F.coalesce("label", F.lit(0)).alias("label")).mapInPandas(sets, schema))
-        return blobs.repartitionById(tasks, "task").mapInPandas(meet, PAIR_ROWS)
+        return blobs.repartitionById(tasks, "task").mapInPandas(meet, "a long, b long")
 
     def _near(self, met: DataFrame) -> DataFrame:
-        """(a, b): the pairs that met whose sketches don't tell that they differ in too much. No similar pair is lost.
-
-        Sets are in ``groups`` by their hash, and pairs in a cell for every two groups, which is where those groups' sketches are sent. A pair names its sets
-        by 32 bits; where two sets of a group share them, each is meant.
-        """
-        groups, differ = self.groups, self.bands.differ
-
-        @lean
-        def blobs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                key, size, sketch = pdf["key1"].to_numpy(), pdf["size"].to_numpy(), pdf["sketch"].to_numpy()
-                of = _group(key, groups)
-                for g in np.unique(of).tolist():
-                    at = np.flatnonzero(of == g)
-                    yield pd.DataFrame({"g": [g], "keys": [key[at].tobytes()], "sizes": [size[at].astype("<u4").tobytes()], "sketch": [b"".join(sketch[at])]})
-
-        @lean
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            at, held, ready = None, [], None
-            for pdf in batches:
-                for cell, kind, keys, sizes, sketch in zip(pdf["cell"].tolist(), pdf["kind"].tolist(), pdf["keys"], pdf["sizes"], pdf["sketch"]):
-                    if cell != at:
-                        at, held, ready = cell, [], None
-                    if kind == 0:
-                        held.append((np.frombuffer(keys, dtype=np.int64), np.frombuffer(sizes, dtype="<u4").astype(np.int64), np.frombuffer(sketch, dtype=np.uint8)))
-                        continue
-                    if ready is None:
-                        ready = _Sketches(held, groups)
-                        held = []
-                    a, b = ready.find(np.frombuffer(keys, dtype="<u4").reshape(-1, 2), *divmod(cell, groups))
-                    for u in range(0, len(a), 50_000):
-                        x, y = a[u : u + 50_000], b[u : u + 50_000]
-                        near = ready.parted(x, y) <= differ(ready.size[x], ready.size[y])
-                        yield pd.DataFrame({"a": ready.key[x[near]], "b": ready.key[y[near]]})
-
-        told = self.sketches.dropDuplicates(["key1", "key2"]).select("key1", "size", "sketch").mapInPandas(blobs, "g int, keys binary, sizes binary, sketch binary")
-        told = told.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select((F.least("g", "k") * groups + F.greatest("g", "k")).cast("int").alias("cell"), F.lit(0).alias("kind"), "keys", "sizes", "sketch")
-        cells = told.unionByName(met)
-        g, h = F.floor(F.col("cell") / groups).cast("int"), F.col("cell") % groups
-        place = (g * groups - F.floor(g * (g - 1) / 2) + h - g).cast("int")  # cells in order, from 0 without a gap
-        near = cells.repartitionById(groups * (groups + 1) // 2, place).sortWithinPartitions("cell", "kind").mapInPandas(work, "a long, b long")
+        """(a, b): each pair to be verified, once."""
         # sets whose first hashes are equal and second ones not: too rare to see, but theirs is the right to be verified
         same = self.ids.groupBy("key1").agg(F.min("key2").alias("lo"), F.max("key2").alias("hi")).filter("lo <> hi").select(F.col("key1").alias("a"), F.col("key1").alias("b"))
-        return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(same).distinct()
+        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(same).distinct()
 
     def _placed(self, near: DataFrame) -> DataFrame:
         """The pairs (a, b) with the cell that each is verified in.

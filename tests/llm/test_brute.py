@@ -103,6 +103,19 @@ def test_neighbourhoods_meet_what_differs_enough_to_be_told():
             assert any(len(p) for p in met)
 
 
+def test_what_meets_by_chance_is_not_sent(spark, monkeypatch):
+    """Unlike texts of few words, many of which meet: the join's next step gets pairs to verify, and few."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(25)]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(300)] + copies(rng, words, [3, 2, 2], 4)
+    sent, near = [], jaccard.Join._near
+    monkeypatch.setattr(jaccard.Join, "_near", lambda self, met: (sent.append((met.columns, met.count())), near(self, met))[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_a"], r["doc_b"]) for r in jaccard.join(df, least=0.6).collect()}
+    assert got == {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2) if len(bigrams(a) & bigrams(b)) / len(bigrams(a) | bigrams(b)) >= 0.6}
+    assert sent[0][0] == ["a", "b"] and sent[0][1] < 2 * len(texts)
+
+
 # language
 
 def test_labels_equal_all_paths():
