@@ -7,6 +7,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from shapeloom.llm import classifier, jaccard, langid, packing, pii
@@ -103,6 +105,39 @@ def test_neighbourhoods_meet_what_differs_enough_to_be_told():
             assert any(len(p) for p in met)
 
 
+def stored(path, gram, size, key, bands):
+    """A folder with the sketches of sets, as tasks of the join read them."""
+    path.mkdir()
+    table = pa.table({"band": pa.array(bands.of(size), pa.int32()), "key1": key, "size": size, "sketch": pa.array(jaccard.sketches(gram, size), pa.binary())})
+    for k in range(2):
+        pq.write_table(table.slice(k * len(size) // 2, (k + 1) * len(size) // 2 - k * len(size) // 2), path / f"{k}.parquet")
+    return jaccard._Stored(f"file://{path}")
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 30_000, 5_000, 300])
+def test_pairs_are_dropped_where_they_meet(tmp_path, limit):
+    """Whatever is in memory at a time, the same pairs survive, each block's own and those between blocks; a set whose name isn't one set's is near all."""
+    rng = np.random.default_rng(6)
+    bands = jaccard.Bands(0.6)
+    base = [np.sort(rng.choice(3000, int(n), replace=False)).astype(np.uint64) for n in rng.integers(5, 200, 60)]
+    sets = [np.unique(np.where(rng.random(len(b)) < 0.1, rng.integers(0, 3000, len(b)), b).astype(np.uint64)) for b in base for _ in range(4)]
+    gram, size = np.concatenate(sets), np.array([len(x) for x in sets])
+    key = np.sort(rng.integers(-(1 << 62), 1 << 62, len(sets)))
+    sig, doc, flag, _ = jaccard.signatures(gram, size, bands, np.log(rng.random(1 << jaccard.DF_BITS)).astype(np.float32))
+    entries = ((sig & np.uint64(0xFFF)) << np.uint64(28)) | (doc.astype(np.uint64) << np.uint64(4)) | flag  # so few signatures that much meets by chance
+    label = np.zeros(len(sets), dtype=np.int64)
+    met = {p for x in jaccard.meetings(entries, label, size, 0.6) for p in x.tolist()}
+    bits = np.frombuffer(b"".join(jaccard.sketches(gram, size)), dtype=np.uint8)
+    pair = np.array(sorted(met))
+    near = jaccard._Sketches([(key, size, bits)], 1).parted(pair >> 32, pair & 0xFFFFFFFF) <= bands.differ(size[pair >> 32], size[pair & 0xFFFFFFFF])
+    got = [p for x in jaccard._survivors([entries], key, label, size, bands, stored(tmp_path / "all", gram, size, key, bands), limit) for p in x.tolist()]
+    assert set(got) == set(pair[near].tolist()) and 100 < len(set(got)) < len(met) / 4
+    of = np.repeat(np.arange(len(size)), size)
+    lack = stored(tmp_path / "lack", gram[of != 7], np.delete(size, 7), np.delete(key, 7), bands)
+    got = {p for x in jaccard._survivors([entries], key, label, size, bands, lack, limit) for p in x.tolist()}
+    assert got == set(pair[near].tolist()) | {p for p in met if 7 in (p >> 32, p & 0xFFFFFFFF)}
+
+
 def test_what_meets_by_chance_is_not_sent(spark, monkeypatch):
     """Unlike texts of few words, many of which meet: the join's next step gets pairs to verify, and few."""
     rng = random.Random(3)
