@@ -356,6 +356,12 @@ def _unique(pairs: np.ndarray) -> np.ndarray:
     return pairs[np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(1)))] if len(pairs) else pairs
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct numbers, in order, by sorting them: ``np.unique`` puts them into a hash table first, which takes many times as long where most are distinct."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
 def meetings(entries: np.ndarray, label: np.ndarray, size: np.ndarray, least: float) -> Iterator[np.ndarray]:
     """Pairs of different documents, of which one looks for what the other has, but those of one group (``label``, 0: none) and those whose sizes tell that they aren't similar.
 
@@ -402,7 +408,7 @@ def meetings(entries: np.ndarray, label: np.ndarray, size: np.ndarray, least: fl
                 r, s = size[x], size[y]
                 ok = (x != y) & (np.minimum(r, s) >= least * np.maximum(r, s) - 1e-9)
                 x, y = x[ok], y[ok]
-                yield np.unique((np.minimum(x, y) << 32) | np.maximum(x, y))
+                yield _distinct((np.minimum(x, y) << 32) | np.maximum(x, y))
                 at = to
 
 
@@ -520,7 +526,10 @@ class _Sketches:
 
     def _folded(self, of: np.ndarray, wide: int, short: int) -> np.ndarray:
         rows = self.rows[wide][self.row[of]]
-        if wide > short:
+        while short >= 8 and rows.shape[1] * 8 > short:
+            half = rows.shape[1] // 2
+            rows = rows[:, :half] ^ rows[:, half:]
+        if wide > short and short < 8:
             rows = np.bitwise_xor.reduce(rows.view(np.uint8).reshape(len(of), wide // short, short), axis=1)
         return rows if short < 8 or rows.dtype == np.uint64 else np.ascontiguousarray(rows).view(np.uint64)
 
@@ -824,12 +833,12 @@ class Join:
                 known.append(pairs)
                 have += len(pairs)
                 if have > 2 * HELD:  # pairs have no bound: no more than these are held
-                    known = [np.unique(np.concatenate(known))]
+                    known = [_distinct(np.concatenate(known))]
                     have = len(known[0])
                     if have > HELD:
                         yield told(known[0])
                         known, have = [np.zeros(0, dtype=np.int64)], 0
-            yield told(np.unique(np.concatenate(known)))
+            yield told(_distinct(np.concatenate(known)))
 
         schema = "task int, keys binary, labels binary, sizes binary, counts binary, body binary"
         slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int").alias("slot")

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -138,6 +139,42 @@ def test_pairs_are_dropped_where_they_meet(tmp_path, limit):
     assert got == set(pair[near].tolist()) | {p for p in met if 7 in (p >> 32, p & 0xFFFFFFFF)}
 
 
+def test_pairs_that_meet_take_little_more_time_than_a_sort():
+    """What meets grows with the square of the documents: a pair has to be cheap."""
+    rng = np.random.default_rng(8)
+    n, docs = 3000, 40_000
+    doc = rng.choice(docs, n, replace=False).astype(np.uint64)
+    entries = (np.uint64(5) << np.uint64(28)) | (doc << np.uint64(4)) | np.uint64(jaccard.WHOLE | jaccard.ASK_WHOLE)
+    label, size = np.zeros(docs, dtype=np.int64), np.full(docs, 100)
+
+    def least(work):
+        began = []
+        for _ in range(3):
+            at = time.perf_counter()
+            got = work()
+            began.append(time.perf_counter() - at)
+        return min(began), got
+
+    took, got = least(lambda: list(jaccard.meetings(entries, label, size, 0.6)))
+    every = np.unique(np.concatenate(got))
+    assert all((x[1:] > x[:-1]).all() for x in got) and len(every) == n * (n - 1) // 2
+    assert np.isin(every >> 32, doc).all() and (every >> 32 < every & 0xFFFFFFFF).all()
+    some = rng.integers(0, 1 << 62, n * n)
+    sort, _ = least(lambda: np.sort(some))
+    assert took < 12 * sort
+
+
+@pytest.mark.parametrize("wide, short", [(2048, 2048), (512, 256), (64, 8), (8, 8), (8, 4), (64, 2)])
+def test_sketches_fold_to_those_of_fewer_buckets(wide, short):
+    rng = np.random.default_rng(9)
+    bits = rng.integers(0, 256, (50, wide), dtype=np.uint8)
+    kept = jaccard._Sketches([], 1)
+    kept.row, kept.rows = np.arange(50), {wide: bits.view(np.uint64)}
+    of = rng.integers(0, 50, 70)
+    want = [[int(np.bitwise_xor.reduce(bits[x, k::short])) for k in range(short)] for x in of]
+    assert kept._folded(of, wide, short).view(np.uint8).tolist() == want
+
+
 def test_what_meets_by_chance_is_not_sent(spark, monkeypatch):
     """Unlike texts of few words, many of which meet: the join's next step gets pairs to verify, and few."""
     rng = random.Random(3)
