@@ -6,11 +6,14 @@ built-in functions on what it returns. Project the struct once and select its fi
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..options import Options
+from .alike import Shapes
 from .request import InvalidRequest, describe
 
 LINE = "struct<idx:string,q:string,sig:string,full:string,notes:array<string>,error:string>"
@@ -19,28 +22,50 @@ _RULES = pa.list_(pa.struct([("rule", pa.string()), ("count", pa.int32()), ("why
 _FIELDS = [pa.field("idx", pa.string()), pa.field("q", pa.string()), pa.field("sig", pa.string()), pa.field("full", pa.string()), pa.field("notes", pa.list_(pa.string())), pa.field("error", pa.string())]
 
 
-def _batch(requests: list[str | None], indices: list[str | None], options: Options, with_rules: bool) -> pa.StructArray:
+def _fields(with_rules: bool) -> list[pa.Field]:
+    return [*_FIELDS, pa.field("rules", _RULES)] if with_rules else _FIELDS
+
+
+def _singly(requests: list[str | None], index: str | None, options: Options, with_rules: bool) -> pa.StructArray:
     columns: list[list] = [[] for _ in range(7)]
-    memory: dict[tuple, tuple] = {}  # logs repeat bodies
-    for pair in zip(requests, indices):
-        row = memory.get(pair)
-        if row is None:
-            request, index = pair
-            if request is None:
-                row = (None, None, None, None, None, "the request is null", None)
-            else:
-                try:
-                    x = describe(request, index, options, with_rules)
-                    row = (x.idx, x.q, x.sig, x.full, x.notes or None, None, x.rules)
-                except InvalidRequest as e:
-                    row = (None, None, None, None, None, str(e), None)
-            memory[pair] = row
+    for request in requests:
+        if request is None:
+            row = (None, None, None, None, None, "the request is null", None)
+        else:
+            try:
+                x = describe(request, index, options, with_rules)
+                row = (x.idx, x.q, x.sig, x.full, x.notes or None, None, x.rules)
+            except InvalidRequest as e:
+                row = (None, None, None, None, None, str(e), None)
         for column, value in zip(columns, row):
             column.append(value)
-    arrays = [pa.array(c, f.type) for c, f in zip(columns, _FIELDS)]
-    if with_rules:
-        return pa.StructArray.from_arrays([*arrays, pa.array(columns[6], _RULES)], fields=[*_FIELDS, pa.field("rules", _RULES)])
-    return pa.StructArray.from_arrays(arrays, fields=_FIELDS)
+    fields = _fields(with_rules)
+    return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], fields=fields)
+
+
+def _batch(requests: pa.Array, indices: pa.Array, shapes: Shapes) -> pa.StructArray:
+    """Each distinct (request, index) once, those of one shape together."""
+    r, i = (pc.dictionary_encode(x.cast(pa.string()), null_encoding="encode") for x in (requests, indices))
+    r.dictionary.validate(full=True)
+    width = len(i.dictionary)
+    pairs = r.indices if width == 1 else pc.dictionary_encode(pc.add(pc.multiply(r.indices.cast(pa.int64()), width), i.indices.cast(pa.int64())))
+    codes = np.arange(len(r.dictionary)) if width == 1 else np.asarray(pairs.dictionary)
+    parts: list[tuple[np.ndarray, pa.StructArray]] = []
+    of = codes % max(width, 1)
+    order = np.argsort(of, kind="stable")
+    for mine in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(codes) else ():
+        index = i.dictionary[int(of[mine[0]])].as_py()
+        texts = r.dictionary.take(pa.array(codes[mine] // width))
+        found, rest = shapes.read(texts, index)
+        parts += [(mine[at], lines) for at, lines in found]
+        if len(rest):
+            parts.append((mine[rest], _singly(texts.take(pa.array(rest)).to_pylist(), index, shapes.options, shapes.with_rules)))
+    if not parts:
+        return pa.array([], pa.struct(_fields(shapes.with_rules)))
+    lines = pa.concat_arrays([x for _, x in parts])
+    place = np.empty(len(codes), np.int64)
+    place[np.concatenate([at for at, _ in parts])] = np.arange(len(codes))
+    return lines.take(pa.array(place[np.asarray(pairs if width == 1 else pairs.indices)]))
 
 
 def _text(value: str | Column) -> Column:
@@ -89,9 +114,11 @@ def line(request: str | Column, index: str | Column | None = None, options: Opti
     """struct<idx, q, sig, full, notes, error[, rules]>: the lines without caps of length. ``error``: why there are none."""
     returns = LINE[:-1] + f",rules:{RULES}>" if with_rules else LINE
 
+    shapes = Shapes(options, with_rules, _fields(with_rules))
+
     @F.arrow_udf(returns)
     def read(requests: pa.Array, indices: pa.Array) -> pa.Array:
-        return _batch(requests.to_pylist(), indices.to_pylist(), options, with_rules)
+        return _batch(requests, indices, shapes)
 
     return read(_text(request).cast("string"), (F.lit(None) if index is None else _text(index)).cast("string"))
 
@@ -135,10 +162,11 @@ def digests(df: DataFrame, request: str = "request", index: str | None = None, o
 
 def register(spark: SparkSession, options: Options = Options(), name: str = "search_digest") -> None:
     """``search_digest(request, index)`` for SQL: struct<idx, q, sig, full, notes, error>; and ``search_digest_hash``."""
+    shapes = Shapes(options, False, _fields(False))
 
     @F.arrow_udf(LINE)
     def read(requests: pa.Array, indices: pa.Array) -> pa.Array:
-        return _batch(requests.to_pylist(), indices.to_pylist(), options, False)
+        return _batch(requests, indices, shapes)
 
     spark.udf.register(name, read)
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}_hash(line STRING) RETURNS STRING RETURN concat('{options.version}:', left(sha2(line, 256), {options.hash_length}))")

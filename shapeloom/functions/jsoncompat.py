@@ -16,6 +16,8 @@ from contextlib import contextmanager
 from functools import cmp_to_key
 from typing import Any
 
+from . import slots
+
 DEPTH = 512
 TRIM = " \t\n\r\0\x0b"
 _NUMERIC = re.compile(r"[ \t\n\r\v\f]*[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?[ \t\n\r\v\f]*\Z")
@@ -180,12 +182,16 @@ def ordered(values: Iterable[str]) -> list[str]:
     values = list(values)
     if len(values) < 2:
         return values
+    if slots.state.probing and slots.sure_strings(values):
+        return sorted(map(str, values))
     if any(v and (v[0] in "+-. \t\n\r\v\f" or "0" <= v[0] <= "9") for v in values):
         return sorted(values, key=cmp_to_key(_compare))
     return sorted(values)
 
 
 def _encoded(value: Any) -> str:
+    if isinstance(value, slots.SLOTS):
+        raise slots.Undecided([value.slot])
     if isinstance(value, dict):
         return "{" + ",".join(f"{_encoded(k)}:{_encoded(v)}" for k, v in value.items()) + "}"
     if isinstance(value, list):

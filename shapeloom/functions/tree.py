@@ -9,6 +9,7 @@ from typing import Any
 
 from .jsoncompat import Undecodable, cast, clauses, composite, decode, digest_of, get, has, integer, items, ordered, scalar, text, texts
 from .rules import Log
+from .slots import state, sure
 
 AND, OR, NOT, NESTED, JOIN, ALL, NONE, OPAQUE, LEAF = range(9)
 
@@ -375,6 +376,8 @@ def canonical(node: Node, log: Log) -> Node:
         if len(limiting) < len(kids):
             log.add("drop_match_all")
         kids = limiting
+    if state.probing:
+        sure(sorted(k.key for k in kids))
     if need is None:
         kids = _distinct(kids, kind, log)
     in_order = sorted(kids, key=lambda k: k.key)
