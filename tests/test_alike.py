@@ -84,3 +84,7 @@ def test_indices_by_row_and_null_requests():
     found = _batch(pa.array(requests, pa.string()), pa.array(indices, pa.string()), Shapes(Options(), False, _fields(False))).to_pylist()
     assert found == [_singly([r], i, Options(), False)[0].as_py() for r, i in zip(requests, indices)]
     assert len(_batch(pa.array([], pa.string()), pa.array([], pa.string()), Shapes(Options(), False, _fields(False)))) == 0
+
+
+def test_bool_all_slots_is_read_by_shape(monkeypatch):
+    assert singly_read("bool_all_slots", monkeypatch) == 0
