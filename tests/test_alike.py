@@ -88,3 +88,7 @@ def test_indices_by_row_and_null_requests():
 
 def test_bool_all_slots_is_read_by_shape(monkeypatch):
     assert singly_read("bool_all_slots", monkeypatch) == 0
+
+
+def test_bool_minimum_is_read_by_shape(monkeypatch):
+    assert singly_read("bool_minimum", monkeypatch) == 0
