@@ -125,6 +125,7 @@ class Shapes:
     def __init__(self, options: Options, with_rules: bool, fields: list[pa.Field]):
         self.options, self.with_rules, self.fields = options, with_rules, fields
         self.met: dict[str | None, list[Shape]] = {}
+        self.last: tuple[str | None, pa.Array, pa.StructArray] | None = None  # index, requests and lines of a batch of few
         self.usable = options.redactor is None and not options.renderers
 
     def read(self, texts: pa.Array, index: str | None) -> tuple[list[tuple[np.ndarray, pa.StructArray]], np.ndarray]:

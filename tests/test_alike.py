@@ -92,3 +92,28 @@ def test_bool_all_slots_is_read_by_shape(monkeypatch):
 
 def test_bool_minimum_is_read_by_shape(monkeypatch):
     assert singly_read("bool_minimum", monkeypatch) == 0
+
+
+def each(names, body, n=1000):
+    return [body.replace("#", name).replace("$v", v) for _ in range(n // len(names)) for v in ("click", "view") for name in names]
+
+
+def read_in_batches(requests, monkeypatch):
+    """How many requests of three batches alike are read one at a time; and that they give what each gives alone."""
+    from shapeloom.functions import columns
+    from shapeloom.functions.request import digest
+
+    read, describe, shapes = [], columns.describe, Shapes(Options(), False, _fields(False))
+    monkeypatch.setattr(columns, "describe", lambda *a: read.append(a) or describe(*a))
+    for _ in range(3):
+        found = _batch(pa.array(requests), pa.nulls(len(requests), pa.string()), shapes, lambda lines: columns._digested(lines, Options()))
+    monkeypatch.undo()
+    assert [(x["q"], x["sig"], x["hash"]) for x in found.to_pylist()] == [(d["q"], d["sig"], d["hash"]) for d in (digest(r) for r in requests)]
+    return len(read)
+
+
+def test_aggs_pipeline_is_read_once(spark, monkeypatch):
+    requests = each(cases.PIPELINE, '{"aggs":{"a":{"#":{"buckets_path":"$v"}}},"size":0}')
+    assert read_in_batches(requests, monkeypatch) <= len(set(requests))
+    plan = cases.queries()["aggs_pipeline"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "sha2" not in plan and plan.count("ArrowEvalPython") == 1
