@@ -117,3 +117,8 @@ def test_aggs_pipeline_is_read_once(spark, monkeypatch):
     assert read_in_batches(requests, monkeypatch) <= len(set(requests))
     plan = cases.queries()["aggs_pipeline"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "sha2" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_aggs_bucket_is_read_once(monkeypatch):
+    requests = each(cases.BUCKET, '{"aggs":{"a":{"#":{"field":"$v"}}},"size":0}')
+    assert read_in_batches(requests, monkeypatch) <= len(set(requests))
