@@ -8,6 +8,7 @@ import pytest
 
 from shapeloom.functions.alike import Shapes
 from shapeloom.functions.columns import _batch, _fields, _singly
+from shapeloom.functions.extension import Clause
 from shapeloom.options import Options
 from shapeloom.plans import cases
 
@@ -122,3 +123,33 @@ def test_aggs_pipeline_is_read_once(spark, monkeypatch):
 def test_aggs_bucket_is_read_once(monkeypatch):
     requests = each(cases.BUCKET, '{"aggs":{"a":{"#":{"field":"$v"}}},"size":0}')
     assert read_in_batches(requests, monkeypatch) <= len(set(requests))
+
+
+def test_extension_clause_is_read_by_shape(monkeypatch):
+    from shapeloom.functions import columns
+    from shapeloom.plans.queries import _joined_terms
+
+    requests = [json.dumps({"query": {"bool": {"must": [{"own": {"at": "f", "k": i}}, {"own": {"k": "vw"[i % 2]}}]}}, "size": i % 50}) for i in range(2000)]
+    options = Options().with_renderer("own", _joined_terms)
+    shapes = held(requests, "logs-2024.01.02", options, False)
+    assert [s.line is not None for s in shapes.met["logs-2024.01.02"]] == [True]
+    monkeypatch.setattr(columns, "describe", None)
+    assert _batch(pa.array(requests), pa.array(["logs-2024.01.02"] * 2000), shapes).null_count == 0
+
+
+def test_functions_of_the_user_see_what_each_row_holds():
+    def own(body):
+        k = body.get("k")
+        if isinstance(k, int) and k % 5 == 0:
+            return None
+        if k == 3:
+            return Clause("l3", "n", {"a": 1.5})
+        return Clause("l", "n", {"k": k, "z": True, "w": [1], "s": str(k) + ("" if isinstance(k, str) or k % 2 else "\\"), "e": None})
+
+    def hide(field, value):
+        return None if value == 7 else f'{value}"' if isinstance(value, int) and value % 3 == 0 else "***" if field == "b" else value
+
+    requests = [json.dumps({"query": {"bool": {"must": [{"own": {"k": i % 97}}, {"own": {"k": "v w"[i % 3]}}, {"term": {"a": i}}, {"match_phrase": {"b": f"x{i}"}}, {"multi_match": {"query": f"q{i}", "fields": ["c", "de"[i % 2]]}}]}}}) for i in range(600)]
+    for level in ("none", "values"):
+        held(requests, None, Options(normalization=level).with_renderer("own", own), True)
+        held(requests, None, Options(normalization=level, redactor=hide).with_renderer("own", own), False)
